@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .leaks import leaked_passages, leaks
+from .mixture import mixture
 from .repetition import repetition, repetitive
 from .term_weights import characteristic, label_weights, term_weights
 
@@ -41,6 +42,14 @@ def p6_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(_p6(spark, sf_dir)).withColumn("coverage", F.round("coverage", 6))
 
 
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetitive(repetition(table(spark, sf_dir, "documents"))).select("doc_id").distinct()
 
@@ -50,4 +59,4 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_scores, p3_labels, p6_found, p6_leaks, p8_found, p8_shares)}
+    return {f.__name__: f for f in (p3_found, p3_scores, p3_labels, p6_found, p6_leaks, p7_mix, p7_shares, p8_found, p8_shares)}
