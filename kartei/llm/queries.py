@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .clusters import cluster_vectors, describe
 from .leaks import leaked_passages, leaks
 from .mixture import mixture
+from .near_duplicates import duplicate_classes, similar_pairs, similar_texts
 from .repetition import repetition, repetitive
 from .term_weights import characteristic, label_weights, term_weights
 
@@ -16,6 +18,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _p1(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return cluster_vectors(table(spark, sf_dir, "vectors"), "file_id", "vec")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _p1(spark, sf_dir)[0].select(F.col("id").alias("file_id"), "cluster_id")
+
+
+def p1_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return describe(*_p1(spark, sf_dir)).withColumn("mean_similarity", F.round("mean_similarity", 6))
+
+
+def _p2(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return similar_texts(table(spark, sf_dir, "extracted"), "file_id", "text", size=3, least=0.5, least_words=20)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_pairs(*_p2(spark, sf_dir)).select(F.col("id_a").alias("file_id_a"), F.col("id_b").alias("file_id_b"))
+
+
+def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicate_classes(*_p2(spark, sf_dir)).withColumnRenamed("id", "file_id")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return characteristic(term_weights(table(spark, sf_dir, "terms"))).select(F.col("record").alias("file_id"), "term")
 
@@ -59,4 +85,4 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_scores, p3_labels, p6_found, p6_leaks, p7_mix, p7_shares, p8_found, p8_shares)}
+    return {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_classes, p3_found, p3_scores, p3_labels, p6_found, p6_leaks, p7_mix, p7_shares, p8_found, p8_shares)}
