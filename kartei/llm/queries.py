@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .clusters import cluster_vectors, describe
+from .encodings import garbled
 from .leaks import leaked_passages, leaks
 from .mixture import mixture
 from .near_duplicates import duplicate_classes, similar_pairs, similar_texts
+from .neighbours import most_similar, similar_pairs as neighbour_pairs
 from .repetition import repetition, repetitive
 from .term_weights import characteristic, label_weights, term_weights
 
@@ -56,6 +58,33 @@ def p3_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.withColumn("mean_score", F.round("mean_score", 6))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return garbled(table(spark, sf_dir, "extracted")).where("damaged").select(F.col("id").alias("file_id")).distinct()
+
+
+def p4_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = garbled(table(spark, sf_dir, "extracted")).where("damaged")
+    return found.select(F.col("id").alias("file_id"), "restorable", "chains", "restored")
+
+
+def _p5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return most_similar(table(spark, sf_dir, "embedding_cache"), "vec_id", "vector", "model")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbour_pairs(_p5(spark, sf_dir)).select(F.col("id_a").alias("vec_id_a"), F.col("id_b").alias("vec_id_b"))
+
+
+def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = _p5(spark, sf_dir)
+    return near.select(F.col("grp").alias("model"), F.col("id").alias("vec_id"), F.col("neighbour").alias("neighbour_id"), F.round("similarity", 6).alias("similarity"), "rank")
+
+
+def p5_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = most_similar(table(spark, sf_dir, "vectors"), "file_id", "vec")
+    return near.select(F.col("id").alias("file_id"), F.col("neighbour").alias("neighbour_id"), F.round("similarity", 6).alias("similarity"), "rank")
+
+
 def _p6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
@@ -85,4 +114,4 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_classes, p3_found, p3_scores, p3_labels, p6_found, p6_leaks, p7_mix, p7_shares, p8_found, p8_shares)}
+    return {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_classes, p3_found, p3_scores, p3_labels, p4_found, p4_restored, p5_found, p5_neighbours, p5_files, p6_found, p6_leaks, p7_mix, p7_shares, p8_found, p8_shares)}
