@@ -2,25 +2,35 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once.
+
+    Inside a lambda of a higher-order function the optimizer would put the whole expression in place of a reference, and
+    it would be computed again for every element.
+    """
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
 def norm(v: Column) -> Column:
-    return F.sqrt(dot(v, v))
+    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
 
 def scaled(v: Column, by: Column) -> Column:
-    return F.transform(v, lambda x: x.cast("double") * by)
+    return let(by, lambda b: F.transform(v, lambda x: x.cast("double") * b))
 
 
 def normalised(v: Column, floor: float = 0.0) -> Column:
     """Unit length; a vector no longer than ``floor`` becomes (or stays) zero."""
-    length = norm(v)
-    return F.when(length > floor, F.transform(v, lambda x: x.cast("double") / length)).otherwise(F.transform(v, lambda x: F.lit(0.0)))
+    return let(v, lambda w: let(norm(w), lambda n: F.transform(w, lambda x: F.when(n > floor, x.cast("double") / n).otherwise(0.0))))
 
 
 def finite(v: Column) -> Column:

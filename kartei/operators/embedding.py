@@ -123,9 +123,10 @@ def encode_distinct(rows: DataFrame, columns: dict[str, str], embedder: Embedder
 
 def composite(text_vec: Column, name_vec: Column, kind_vec: Column, mix: Column, void: Column) -> Column:
     """The three channels side by side, each scaled by the root of its share, at unit length; zero where ``void``."""
-    parts = [V.scaled(v, F.sqrt(mix[c])) for v, c in ((text_vec, "text"), (name_vec, "name"), (kind_vec, "kind"))]
-    joined = F.concat(*parts)
-    return F.when(void, F.transform(joined, lambda x: F.lit(0.0))).otherwise(V.normalised(joined))
+    channels = ((text_vec, "text"), (name_vec, "name"), (kind_vec, "kind"))
+    joined = V.let(mix, lambda m: F.concat(*(V.scaled(v, F.sqrt(m[c])) for v, c in channels)))
+    whole = F.size(text_vec) + F.size(name_vec) + F.size(kind_vec)
+    return F.when(void, F.array_repeat(F.lit(0.0), whole)).otherwise(V.normalised(joined))
 
 
 def name_phrases(files: DataFrame, tokens: str = "tokens", least_files: int = 5, share: float = 0.7) -> DataFrame:

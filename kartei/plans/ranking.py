@@ -18,11 +18,11 @@ def ranked(rows: DataFrame, keys: list[str], order: list[str | Column], out: str
     table = materialise(placed)  # the split of a range partitioning is sampled: it must not be drawn twice
     here = table.groupBy("_task", *keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
     before = Window.partitionBy(*keys).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
-    starts = here.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    match = [table[k].eqNullSafe(starts[k]) for k in keys]
-    joined = table.join(starts, [table["_task"] == starts["_task"], *match])
-    kept = [table[c] for c in rows.columns]
-    return joined.select(*kept, (table["_row"] - starts["_first"] + starts["_before"]).cast("long").alias(out))
+    starts = here.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).select(F.col("_task").alias("_t"), "_first", "_before", *(F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)))
+    match = F.col("_task") == F.col("_t")
+    for i, k in enumerate(keys):
+        match = match & F.col(k).eqNullSafe(F.col(f"_key{i}"))
+    return table.join(starts, match).select(*rows.columns, (F.col("_row") - F.col("_first") + F.col("_before")).cast("long").alias(out))
 
 
 def evenly_kept(place: Column, count: Column, limit: int) -> Column:
