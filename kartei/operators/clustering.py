@@ -173,7 +173,8 @@ def cluster_labels(terms: DataFrame, members: DataFrame, top: int = 3, support:
     joined = grouped.join(totals, ["folder", "cluster"]).join(spread, ["folder", "term"]).join(sizes, ["folder", "cluster"]).join(count, "folder")
     score = F.col("n") / F.col("total") * (F.log(F.col("clusters") / F.col("spread")) + 1.0) * F.sqrt(F.length("term"))
     scored = joined.where(F.col("with") / F.col("docs") >= support).withColumn("score", score).where(F.col("score") >= least)
-    order = Window.partitionBy("folder", "cluster").orderBy(F.desc("score"), "term")
+    # Scores are compared to nine digits, so that equal ones are ties and go by term.
+    order = Window.partitionBy("folder", "cluster").orderBy(F.desc(F.round("score", 9)), "term")
     best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     labels = best.groupBy("folder", "cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda s: s["term"]).alias("labels"))
     return sizes.select("folder", "cluster").join(labels, ["folder", "cluster"], "left").withColumn("labels", F.coalesce("labels", F.array(F.lit("no shared wording"))))

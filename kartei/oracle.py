@@ -208,7 +208,7 @@ SQL: dict[str, str] = {
     "content_tokens": select(f"SELECT file_id, array_to_string({content_words('text')}, ' ') AS words FROM texts", TEXTS),
     "base_stem": select(f"SELECT file_id, {base('stem')} AS base FROM latest WHERE stem IS NOT NULL", LATEST),
     "version_markers": select(f"SELECT file_id, array_to_string({markers('stem')}, ' ') AS markers FROM latest WHERE stem IS NOT NULL", LATEST),
-    "version_pileups": select("SELECT folder, base, ext, members, first FROM piles", LATEST, FAMILIES_SQL),
+    "version_pileups": select("SELECT folder, base, ext, members, first FROM piles", LATEST.replace("folder, path", "regexp_extract(folder, '^/[^/]+') AS folder, path", 1).replace("lower(coalesce(ext, '')) AS ext", "'' AS ext"), FAMILIES_SQL),
     "clean_text": f"SELECT doc_id, {clean('text')} AS excerpt FROM documents WHERE text IS NOT NULL",
     "html_text": f"SELECT doc_id, {clean(unmarked(PAGE))} AS excerpt FROM documents WHERE text IS NOT NULL",
     "legacy_runs": f"SELECT doc_id, {clean("array_to_string(regexp_extract_all(text, '[\\x20-\\x7e]{6,}'), ' ')")} AS excerpt FROM documents WHERE text IS NOT NULL",
@@ -235,7 +235,7 @@ SQL: dict[str, str] = {
     ),
     "nested_roots": select("SELECT folder AS root FROM names WHERE folder NOT IN (SELECT descendant FROM tree WHERE distance > 0)", TREE),
     "reported_once": select("SELECT descendant AS folder, arg_max(ancestor, distance) AS root FROM tree GROUP BY descendant", TREE),
-    "exact_duplicates": select("SELECT folder, min(file_id) AS first, count(*) AS copies FROM written WHERE folder IS NOT NULL AND size > 0 AND text <> '' GROUP BY folder, size, text HAVING count(*) > 1", LATEST, KINDS, TEXTS, WRITTEN),
+    "exact_duplicates": select("SELECT regexp_extract(folder, '^/[^/]+') AS folder, min(file_id) AS first, count(*) AS copies FROM written WHERE folder IS NOT NULL AND text <> '' GROUP BY ALL, text HAVING count(*) > 1".replace("GROUP BY ALL, text", "GROUP BY regexp_extract(folder, '^/[^/]+'), text"), LATEST, KINDS, TEXTS, WRITTEN),
     "common_name_tokens": select("SELECT file_id, name_phrase FROM phrased", LATEST, KINDS, TEXTS, WRITTEN, PHRASES),
     "marker_vectors": select(exploded(f"(SELECT file_id, {marker_list('text')} AS v FROM texts)", "file_id", "v"), TEXTS),
     "distinct_encode": select(exploded(f"(SELECT file_id, CASE WHEN {blank('text')} THEN [0.0, 0.0, 0.0, 0.0] ELSE {marker_list('text')} END AS v FROM texts)", "file_id", "v"), TEXTS),
@@ -250,7 +250,7 @@ SQL: dict[str, str] = {
         "SELECT folder, n, (i - 1)::INT AS i, round(avg(x), 5) AS x FROM (SELECT folder, n, unnest(vec) AS x, generate_subscripts(vec, 1) AS i FROM units JOIN (SELECT folder, count(*) AS n FROM units GROUP BY folder) USING (folder) WHERE n >= 3) GROUP BY folder, n, i", UNITS
     ),
     "pair_similarity": select(f"SELECT * FROM (SELECT x.folder, x.file_id AS a, y.file_id AS b, round({dot('x.vec', 'y.vec')}, 5) AS similarity FROM units x JOIN units y ON x.folder = y.folder AND x.file_id < y.file_id WHERE {dot('x.vec', 'y.vec')} >= 0.9)", UNITS),
-    "closest_similarity": select(f"SELECT x.folder, x.file_id, round(coalesce(max(least(1, greatest(-1, {dot('x.vec', 'y.vec')}))), 0), 5) AS closest FROM units x LEFT JOIN units y ON x.folder = y.folder AND x.file_id <> y.file_id GROUP BY x.folder, x.file_id", UNITS),
+    "closest_similarity": select(f"SELECT x.folder, x.file_id, round(CASE WHEN count(y.file_id) = 0 THEN 0 ELSE least(1, greatest(-1, max({dot('x.vec', 'y.vec')}))) END, 5) AS closest FROM units x LEFT JOIN units y ON x.folder = y.folder AND x.file_id <> y.file_id GROUP BY x.folder, x.file_id", UNITS),
     "group_similarity": select(f"SELECT x.folder, x.cluster AS a, y.cluster AS b, round({dot('x.mean', 'y.mean')}, 5) AS similarity FROM means x JOIN means y ON x.folder = y.folder AND x.cluster <= y.cluster", UNITS, MEMBERS, MEANS),
     "meaningful_clusters": select("SELECT folder, cluster, size FROM main", MEMBERS),
     "dominant_subject": select(exploded("subjects", "folder", "subject"), UNITS, MEMBERS, MEANS, SUBJECTS),
@@ -260,7 +260,7 @@ SQL: dict[str, str] = {
         "docs AS (SELECT folder, cluster, size AS docs, count(*) OVER (PARTITION BY folder) AS clusters FROM sizes)",
         "grouped AS (SELECT folder, cluster, term, sum(n) AS n, count(*) AS with_term FROM file_terms JOIN members USING (folder, file_id) WHERE cluster >= 0 GROUP BY folder, cluster, term)",
         "rated AS (SELECT g.*, docs, n / (sum(n) OVER (PARTITION BY folder, cluster)) * (ln(clusters / (count(*) OVER (PARTITION BY folder, term))) + 1) * sqrt(length(term)) AS score FROM grouped g JOIN docs USING (folder, cluster))",
-        "best AS (SELECT *, row_number() OVER (PARTITION BY folder, cluster ORDER BY round(score, 12) DESC, term) AS turn FROM rated WHERE with_term / docs >= 0.30 AND score >= 0.0015)",
+        "best AS (SELECT *, row_number() OVER (PARTITION BY folder, cluster ORDER BY round(score, 9) DESC, term) AS turn FROM rated WHERE with_term / docs >= 0.30 AND score >= 0.0015)",
         "labels AS (SELECT folder, cluster, string_agg(term, ' · ' ORDER BY turn) AS label FROM best WHERE turn <= 3 GROUP BY folder, cluster)",
     ),
     "leave_one_out_fit": select(

@@ -114,9 +114,14 @@ def version_markers(spark: SparkSession, sf: str) -> DataFrame:
     return _names(spark, sf).select("file_id", F.array_join(K.version_markers(F.col("stem")), " ").alias("markers"))
 
 
+def _share(files: DataFrame) -> DataFrame:
+    """Files of a whole share as one folder: families and copies inside one folder are rare in the tables."""
+    return files.withColumn("folder", F.regexp_extract("folder", "^/[^/]+", 0))
+
+
 @query
 def version_pileups(spark: SparkSession, sf: str) -> DataFrame:
-    return leftovers.revision_families(placed(files_of(spark, sf)).where("stem is not null")).select("folder", "base", "ext", "members", "first")
+    return leftovers.revision_families(_share(placed(files_of(spark, sf))).where("stem is not null").withColumn("ext", F.lit(""))).select("folder", "base", "ext", "members", "first")
 
 
 @query
@@ -191,7 +196,7 @@ def reported_once(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def exact_duplicates(spark: SparkSession, sf: str) -> DataFrame:
-    files = placed(written_files(spark, sf)).withColumn("digest", F.when(F.col("text") != "", F.sha2("text", 256)))
+    files = _share(placed(written_files(spark, sf))).withColumns({"digest": F.when(F.col("text") != "", F.sha2("text", 256)), "size": F.octet_length("text")})
     return leftovers.exact_groups(files).select("folder", "first", "copies")
 
 

@@ -9,12 +9,12 @@ TEXTS, VECTORS = 100_000, 250_000
 
 def hex_seconds(micros: Column) -> Column:
     """Epoch seconds as the hexadecimal float that the cache uses as a key, e.g. 0x1.69473c791ba5ep+30."""
-    java = F.call_function("reflect", F.lit("java.lang.Double"), F.lit("toHexString"), micros / F.lit(1e6))
+    java = F.call_function("reflect", F.lit("java.lang.Double"), F.lit("toHexString"), F.coalesce(micros, F.lit(0)) / F.lit(1e6))
     fraction = F.rpad(F.regexp_replace(F.regexp_extract(java, r"\.([0-9a-f]+)p", 1), "^0$", ""), 13, "0")
     exponent = F.regexp_extract(java, r"p(-?\d+)$", 1)
     sign = F.when(exponent.startswith("-"), "").otherwise("+")
     plain = F.concat(F.regexp_extract(java, r"^(-?0x[01])\.", 1), F.lit("."), fraction, F.lit("p"), sign, exponent)
-    return F.when(micros == 0, "0x0.0p+0").otherwise(plain)
+    return F.when(micros == 0, "0x0.0p+0").when(micros.isNotNull(), plain)
 
 
 def looked_up(files: DataFrame, cache: DataFrame, settings: str) -> DataFrame:
