@@ -113,5 +113,50 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition(table(spark, sf_dir, "documents")).withColumn("repeated_share", F.round("repeated_share", 9)).distinct()
 
 
+def p8_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact counts behind p8_found, for every document."""
+    return repetition(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "sequences", "distinct_sequences").distinct()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_classes, p3_found, p3_scores, p3_labels, p4_found, p4_restored, p5_found, p5_neighbours, p5_files, p6_found, p6_leaks, p7_mix, p7_shares, p8_found, p8_shares)}
+    """All queries; of each problem pN_found comes first."""
+    own = (
+        p1_found, p1_clusters, p2_found, p2_classes, p3_found, p3_scores, p3_labels, p4_found, p4_restored,
+        p5_found, p5_neighbours, p5_files, p6_found, p6_leaks, p7_mix, p7_shares, p8_found, p8_shares, p8_sequences,
+    )
+    return {f.__name__: f for f in own}
+
+
+WORDS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+')"
+PAIRS = """
+pairs AS (SELECT file_id, term, sum(n)::BIGINT AS n FROM (SELECT file_id, trim(lower(term)) AS term, n FROM (SELECT DISTINCT file_id, term, n FROM terms WHERE file_id IS NOT NULL AND term IS NOT NULL AND n > 0))
+  WHERE term <> '' GROUP BY file_id, term),
+weighted AS (SELECT file_id, term, n, (sum(n) OVER (PARTITION BY file_id))::BIGINT AS total, count(*) OVER (PARTITION BY term) AS df, (SELECT count(DISTINCT file_id) FROM pairs) AS records FROM pairs),
+scored AS (SELECT *, n / total * ln((1.0 + records) / (1.0 + df)) + n / total AS score FROM weighted)"""
+SHINGLES = f"""
+words AS (SELECT DISTINCT file_id, {WORDS.format("text")} AS w FROM extracted WHERE text IS NOT NULL),
+grams AS (SELECT DISTINCT file_id, array_to_string(w[k:k + 2], ' ') AS g FROM (SELECT file_id, w, unnest(range(1, len(w) - 1)) AS k FROM words WHERE len(w) >= 20)),
+counts AS (SELECT file_id, count(*) AS n FROM grams GROUP BY file_id),
+shared AS (SELECT a.file_id AS a, b.file_id AS b, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.file_id < b.file_id GROUP BY 1, 2)"""
+RUNS = f"""
+item_runs AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM (SELECT item_id, {WORDS.format("text")} AS w FROM eval_items))),
+doc_runs AS (SELECT doc_id, array_to_string(w[k:k + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM (SELECT doc_id, {WORDS.format("text")} AS w FROM documents)))"""
+SEQUENCES = f"""
+words AS (SELECT DISTINCT doc_id, {WORDS.format("coalesce(text, '')")} AS w FROM documents),
+counted AS (SELECT doc_id, len(w)::INT AS n_words, greatest(0, len(w) - 4)::INT AS sequences, len(list_distinct(list_transform(range(1, greatest(1, len(w) - 3)), lambda k: array_to_string(w[k:k + 4], ' '))))::INT AS distinct_sequences FROM words)"""
+
+def oracle_sql() -> dict[str, str]:
+    """SQL for the queries that DuckDB can express. Problem 5 is approximate by nature."""
+    return {
+        "p2_found": f"WITH {SHINGLES} SELECT a AS file_id_a, b AS file_id_b FROM shared JOIN counts x ON x.file_id = a JOIN counts y ON y.file_id = b WHERE 2 * c >= x.n + y.n - c",
+        "p3_found": f"WITH {PAIRS} SELECT file_id, term FROM scored WHERE n >= 3 AND 20 * n >= total AND df BETWEEN 3 AND 20",
+        "p3_scores": f"WITH {PAIRS} SELECT file_id, term, n, total, df, round(score, 6) AS score FROM scored",
+        "p3_labels": f"""WITH {PAIRS},
+            wording AS (SELECT DISTINCT folder, cluster, label FROM (SELECT folder, cluster, unnest(labels) AS label FROM cluster_labels WHERE cluster >= 0 AND folder IS NOT NULL) WHERE label IS NOT NULL),
+            members AS (SELECT DISTINCT folder, cluster, file_id FROM clusters WHERE cluster >= 0 AND file_id IS NOT NULL)
+            SELECT w.folder, w.cluster, w.label, round(avg(s.score), 6) AS mean_score, count(s.score) AS files FROM wording w LEFT JOIN members m USING (folder, cluster)
+            LEFT JOIN scored s ON s.file_id = m.file_id AND s.term = trim(lower(w.label)) GROUP BY w.folder, w.cluster, w.label""",
+        "p6_found": f"WITH {RUNS} SELECT DISTINCT doc_id, item_id FROM doc_runs JOIN item_runs USING (g)",
+        "p8_found": f"WITH {SEQUENCES} SELECT doc_id FROM counted WHERE n_words >= 50 AND 10 * (sequences - distinct_sequences) >= 3 * sequences",
+        "p8_sequences": f"WITH {SEQUENCES} SELECT doc_id, n_words, sequences, distinct_sequences FROM counted",
+    }
