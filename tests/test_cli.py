@@ -17,7 +17,7 @@ def home(tmp_path_factory):
             for k in range(9 // len(marks)):
                 path = root / folder / f"{mark}{k}q.txt"
                 path.parent.mkdir(exist_ok=True)
-                path.write_text(f"{mark} " + "with a few more words to read here " * 5)
+                path.write_text(f"{mark} " + "with a few more words to read here " * 5 + f"{folder} number {k} " + "abcdefghij"[k] * 9 * (k + 1))
     (root / "few").mkdir()
     (root / "few" / "one.txt").write_text("alpha")
     return root
