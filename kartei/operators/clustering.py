@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from kartei.functions import vectors as V
+from kartei.plans.lineage import materialise
 
 
 def average_linkage(x: np.ndarray, threshold: float) -> np.ndarray:
@@ -167,7 +168,8 @@ def cluster_labels(terms: DataFrame, members: DataFrame, top: int = 3, support:
     held = members.where("cluster >= 0").select("folder", "pos", "cluster")
     sizes = held.groupBy("folder", "cluster").agg(F.count(F.lit(1)).alias("docs"))
     count = sizes.groupBy("folder").agg(F.count(F.lit(1)).alias("clusters"))
-    grouped = terms.join(held, ["folder", "pos"]).groupBy("folder", "cluster", "term").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("with"))
+    # Read three times below: the words are split once.
+    grouped = materialise(terms.join(held, ["folder", "pos"]).groupBy("folder", "cluster", "term").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("with")))
     totals = grouped.groupBy("folder", "cluster").agg(F.sum("n").alias("total"))
     spread = grouped.groupBy("folder", "term").agg(F.count(F.lit(1)).alias("spread"))
     joined = grouped.join(totals, ["folder", "cluster"]).join(spread, ["folder", "term"]).join(sizes, ["folder", "cluster"]).join(count, "folder")

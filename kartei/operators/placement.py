@@ -193,10 +193,10 @@ def misplaced_folders(f: Frames, embedder: Embedder) -> DataFrame:
     places = whole.select(F.col("owner").alias("place"), F.col("vectors").alias("r"), F.col("shares").alias("rs")).join(content.select(F.col("owner").alias("place"), F.col("vectors").alias("rc")), "place")
     line = tree.select(F.col("ancestor").alias("folder"), F.col("descendant").alias("place")).unionByName(tree.select(F.col("descendant").alias("folder"), F.col("ancestor").alias("place"))).distinct()
     # The places go round in blocks of the query set, so neither side is gathered whole.
-    blocks = max(1, -(-fired.count() // 200))
+    blocks, parts = max(1, -(-fired.count() // 200)), max(1, -(-whole.count() // 500))
     numbered = query.withColumn("block", F.pmod(F.xxhash64("folder"), F.lit(blocks)).cast("int"))
-    rounds = places.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("part", F.pmod(F.xxhash64("place"), F.lit(64)).cast("int"))
-    copies = numbered.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(63))))
+    rounds = places.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("part", F.pmod(F.xxhash64("place"), F.lit(parts)).cast("int"))
+    copies = numbered.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
 
     def relate(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []

@@ -11,6 +11,7 @@ from kartei.operators import clustering as C
 from kartei.operators.ancestry import ancestry, first_report, outermost, rollup
 from kartei.operators.embedding import HashedEmbedder, MarkerEmbedder, composite, encode_distinct, name_phrases
 from kartei.operators.score import scores, visible, worst_first
+from kartei.plans.lineage import materialise
 from kartei.plans.ranking import evenly_sampled
 from kartei.settings import Settings, Thresholds
 from kartei.signals import Frames, leftovers, shape, time as strata, topics
@@ -42,6 +43,11 @@ def placed(files: DataFrame) -> DataFrame:
     return files.where("folder is not null").withColumn("pos", F.col("file_id"))
 
 
+def bounded(files: DataFrame) -> DataFrame:
+    """Folders over the limit are sampled evenly by name, as before any audit: what comes later sees bounded folders."""
+    return evenly_sampled(files, ["folder"], ["name", "file_id"], Settings().max_files_per_folder, "_at").drop("_at", "truncated")
+
+
 def unit_vectors(spark: SparkSession, sf: str) -> DataFrame:
     """(folder, pos, vec, topical): usable vectors at unit length; folders over the limit are sampled evenly."""
     rows = table(spark, sf, "vectors").where(V.is_usable(F.col("vec"), 128) & F.col("folder").isNotNull() & F.col("file_id").isNotNull())
@@ -121,7 +127,7 @@ def _share(files: DataFrame) -> DataFrame:
 
 @query
 def version_pileups(spark: SparkSession, sf: str) -> DataFrame:
-    return leftovers.revision_families(_share(placed(files_of(spark, sf))).where("stem is not null").withColumn("ext", F.lit(""))).select("folder", "base", "ext", "members", "first")
+    return leftovers.revision_families(_share(placed(files_of(spark, sf))).where("stem is not null").withColumn("ext", F.lit("")), lists=False).select("folder", "base", "ext", "members", "first")
 
 
 @query
@@ -197,7 +203,7 @@ def reported_once(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def exact_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     files = _share(placed(written_files(spark, sf))).withColumns({"digest": F.when(F.col("text") != "", F.sha2("text", 256)), "size": F.octet_length("text")})
-    return leftovers.exact_groups(files).select("folder", "first", "copies")
+    return leftovers.exact_groups(files, lists=False).select("folder", "first", "copies")
 
 
 # --- evidence ---
@@ -356,7 +362,7 @@ def label_separation(spark: SparkSession, sf: str) -> DataFrame:
 
 def _dated(spark: SparkSession, sf: str) -> DataFrame:
     seconds = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', mtime)") / 1e6
-    return placed(files_of(spark, sf)).withColumn("mtime", F.coalesce(seconds, F.lit(0.0)))
+    return bounded(placed(files_of(spark, sf)).where("name is not null").withColumn("mtime", F.coalesce(seconds, F.lit(0.0))))
 
 
 @query
@@ -370,7 +376,7 @@ def event_eras(spark: SparkSession, sf: str) -> DataFrame:
     """Gap sessions of users: 12 hours apart, at least three events."""
     events = table(spark, sf, "events").where("user_id is not null and ts is not null")
     seconds = (F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)") if dict(events.dtypes)["ts"] == "timestamp_ntz" else F.unix_micros("ts")) / 1e6
-    rows = strata.kept_eras(strata.eras(events.select("user_id", "event_id", seconds.alias("t")), ["user_id"], "t", 12 * 3600.0, "event_id"), ["user_id"])
+    rows = strata.kept_eras(strata.wide_eras(events.select("user_id", "event_id", seconds.alias("t")), ["user_id"], "t", 12 * 3600.0, "event_id"), ["user_id"])
     return rows.groupBy("user_id", "era").agg(F.count(F.lit(1)).alias("events"), F.min("event_id").alias("first"), F.max("event_id").alias("last"))
 
 
@@ -383,11 +389,12 @@ def era_dominant(spark: SparkSession, sf: str) -> DataFrame:
 def table_frames(spark: SparkSession, sf: str, settings: Settings = Settings()) -> Frames:
     """The tables as frames: their own vectors and clusters, files without vectors included."""
     files = _dated(spark, sf).where("stem is not null").join(excerpts(table(spark, sf, "extracted")), "file_id", "left")
-    files = files.withColumn("digest", F.when(F.col("text") != "", F.sha2("text", 256))).withColumn("text", F.coalesce("text", F.lit("")))
+    files = materialise(files.withColumn("digest", F.when(F.col("text") != "", F.sha2("text", 256))).withColumn("text", F.coalesce("text", F.lit(""))))
     counts = files.groupBy("folder").agg(F.count(F.lit(1)).cast("int").alias("n_files"), F.lit(0).alias("truncated"))
     members = table_members(spark, sf).withColumn("closest", F.lit(0.0))
     labels = table(spark, sf, "cluster_labels").where("cluster >= 0").groupBy("folder", "cluster").agg(F.max("labels").alias("labels"))
-    return Frames(files, unit_vectors(spark, sf), members, labels, counts, ancestry(table(spark, sf, "folders")), settings, Thresholds.derive(SCALE, settings))
+    vectors = materialise(unit_vectors(spark, sf))
+    return Frames(files, vectors, materialise(members), labels, counts, ancestry(table(spark, sf, "folders")), settings, Thresholds.derive(SCALE, settings))
 
 
 @query
