@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .sampling import sample_texts
 from .words import rolling, window_mask
 
 TOKEN = re.compile(r"[^\W_]+|[\n.!?…。！？]")
@@ -234,8 +235,7 @@ def planted(texts: list[str], seed: int = 11) -> tuple[np.ndarray, np.ndarray, n
 
 def train(documents: DataFrame, text: str = "text", texts: int = TRAIN_TEXTS) -> ChainField:
     """Fit the field on at most ``texts`` clean texts, chosen by hash (the same at every run)."""
-    pool = documents.where(F.length(text).between(200, 4000)).select(F.col(text).alias("t"))
-    rows = [r.t for r in pool.select("t", F.xxhash64("t").alias("h")).orderBy("h", "t").limit(texts).collect()]
+    rows = sample_texts(documents.where(F.length(text).between(200, 4000)), texts, text)
     u = cut(rows)
     _, sequences, distinct = describe(u)
     clean = [t for t, a, b in zip(rows, sequences, distinct) if a == b and a > 0]
