@@ -58,7 +58,7 @@ def markers(s: str) -> str:
 
 def ramp(v: str, low: float, high: float) -> str:
     if high <= low:
-        return f"(CASE WHEN {v} >= {high} THEN 1.0 ELSE 0.0 END)"
+        return f"(CASE WHEN {v} >= {high} THEN 1.0 ELSE 0.0 END)::DOUBLE"
     return f"greatest(0.0, least(1.0, ({v} - {low}) / ({high} - {low})::DOUBLE))"
 
 
