@@ -333,6 +333,22 @@ SQL: dict[str, str] = {
     "verdict_bands": select(f"SELECT *, {LABELS} AS label FROM verdicts", LATEST, DEBRIS, FAMILIES_SQL, SIMPLE),
     "visibility_filter": select("SELECT folder, judged, verdict FROM verdicts WHERE NOT judged OR verdict >= 1", LATEST, DEBRIS, FAMILIES_SQL, SIMPLE),
     "worst_verdicts": select(f"SELECT folder, score, verdict, printf('%.1f', score) || chr(9) || {LABELS} || chr(9) || folder AS report FROM verdicts WHERE judged ORDER BY score DESC, folder", LATEST, DEBRIS, FAMILIES_SQL, SIMPLE),
+    "finding_census": select("SELECT code, count(DISTINCT folder) AS folders, round(avg(severity), 6) AS mean_severity FROM found GROUP BY code", LATEST, DEBRIS, FAMILIES_SQL, SIMPLE),
+    "misfiled_sweep": select(
+        "SELECT ratio, count(DISTINCT folder) AS folders, coalesce(sum(n), 0)::BIGINT AS files FROM grid LEFT JOIN hits USING (ratio) GROUP BY ratio",
+        UNITS, MEMBERS, MEANS, SUBJECTS, TREE,
+        "parts AS (SELECT folder, i, sum(x) AS x, count(*) AS n FROM (SELECT folder, unnest(vec) AS x, generate_subscripts(vec, 1) AS i FROM units WHERE topical) GROUP BY folder, i)",
+        "totals AS (SELECT folder, list(x ORDER BY i) AS total FROM parts WHERE n >= 2 GROUP BY folder)",
+        "rests AS (SELECT u.folder, u.file_id, u.vec, s.subject, list_transform(list_zip(t.total, u.vec), lambda p: p[1] - p[2]) AS rest FROM units u JOIN totals t USING (folder) LEFT JOIN subjects s USING (folder) WHERE u.topical)",
+        f"loose AS (SELECT * FROM rests WHERE list_inner_product(vec, coalesce(subject, list_transform(rest, lambda x: CASE WHEN sqrt(list_inner_product(rest, rest)) > 1e-8 THEN x / sqrt(list_inner_product(rest, rest)) ELSE 0 END))) < {LIMITS.cluster!r})",
+        "profile_parts AS (SELECT folder, i, avg(x) AS x, count(*) AS n FROM (SELECT folder, unnest(vec) AS x, generate_subscripts(vec, 1) AS i FROM units) GROUP BY folder, i)",
+        "raw_profiles AS (SELECT folder, list(x ORDER BY i) AS p FROM profile_parts WHERE n >= 3 GROUP BY folder)",
+        "unit_profiles AS (SELECT folder AS descendant, list_transform(p, lambda x: CASE WHEN sqrt(list_inner_product(p, p)) > 1e-8 THEN x / sqrt(list_inner_product(p, p)) ELSE 0 END) AS p FROM raw_profiles)",
+        f"below AS (SELECT t.ancestor AS folder, t.descendant, t.distance, u.p FROM tree t JOIN unit_profiles u USING (descendant) LEFT JOIN subjects s ON s.folder = t.ancestor WHERE distance > 0 AND (s.subject IS NULL OR list_inner_product(u.p, s.subject) < {LIMITS.unrelated!r}))",
+        "ranked AS (SELECT v.folder, v.file_id, b.descendant, list_inner_product(v.vec, b.p) AS similarity, row_number() OVER (PARTITION BY v.folder, v.file_id ORDER BY list_inner_product(v.vec, b.p) DESC, b.distance, b.descendant) AS turn FROM loose v JOIN below b USING (folder))",
+        "grid(ratio) AS (SELECT round(0.05::DOUBLE * k, 2) FROM (SELECT unnest(range(17)) AS k))",
+        f"hits AS (SELECT ratio, folder, descendant, count(*) AS n FROM ranked, grid WHERE turn = 1 AND similarity >= {LIMITS.cluster!r} - ratio * 0.9 GROUP BY ratio, folder, descendant HAVING count(*) >= 2)",
+    ),
     "median_of_medians": "SELECT source, round(quantile_cont(m, 0.5), 6) AS median FROM (SELECT source, lang, quantile_cont(n_chars, 0.5) AS m FROM documents WHERE n_chars IS NOT NULL AND source IS NOT NULL AND lang IS NOT NULL GROUP BY source, lang) GROUP BY source",
     "cache_eviction": "SELECT path, size, mtime, settings, max(accessed) AS accessed FROM extracted WHERE path IS NOT NULL GROUP BY path, size, mtime, settings ORDER BY accessed DESC, path, size, mtime, settings LIMIT 100000",
     "cache_vectors": "SELECT model, digest, (x).a AS accessed, (x).d AS dimensions FROM (SELECT model, digest, max({a: accessed, d: dimensions}) AS x FROM embedding_cache WHERE digest IS NOT NULL GROUP BY model, digest) ORDER BY accessed DESC, model, digest LIMIT 250000",

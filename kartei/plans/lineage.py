@@ -19,6 +19,9 @@ _OWN: list[str] = []
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder, or one of our own in a local session without it."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named:  # a session may have been given the folder after its start
+        given = spark.sparkContext._jsc.sc().getCheckpointDir()
+        named = given.get() if given.isDefined() else None
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):

@@ -546,3 +546,32 @@ def threshold_sweep(spark: SparkSession, sf: str) -> DataFrame:
     from kartei.calibrate import sweep
 
     return sweep(unit_vectors(spark, sf), table_members(spark, sf))
+
+
+@query
+def unrelated_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    from kartei.calibrate import unrelated_sweep as run
+
+    members = table_members(spark, sf)
+    main = materialise(table_main(members))
+    held = members.join(main, ["folder", "cluster"], "left_semi")
+    alike = C.group_similarity(C.cluster_means(unit_vectors(spark, sf), held)).where("a < b")
+    named = topics.shared_names(placed(files_of(spark, sf)).where("stem is not null"), held).where(F.col("jaccard") >= topics.NAME_THREAD)
+    return run(main, alike, named, SCALE)
+
+
+@query
+def misfiled_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    from kartei.calibrate import misfiled_sweep as run
+
+    vectors = materialise(unit_vectors(spark, sf))
+    subjects = materialise(_subjects(spark, sf, vectors))
+    loose = topics.own_fit(vectors, subjects).where(F.col("fit") < LIMITS.cluster).select("folder", "pos", "vec")
+    return run(topics.best_profile(loose, ancestry(table(spark, sf, "folders")), C.profiles(vectors), subjects, LIMITS.unrelated), LIMITS.cluster, SCALE)
+
+
+@query
+def finding_census(spark: SparkSession, sf: str) -> DataFrame:
+    from kartei.calibrate import census
+
+    return census(_simple_findings(spark, sf)[0]).withColumn("mean_severity", F.round("mean_severity", 6))
