@@ -1,5 +1,4 @@
 import random
-import re
 from collections import Counter
 
 import numpy as np
@@ -324,4 +323,3 @@ def test_viterbi_is_the_best_path():
 def test_cut_units():
     u = R.cut(["One two. Three\nfour", None, "x " * 50])
     assert u.ends.tolist() == [0, 4, 4, 54] and np.diff(np.concatenate([[0], u.unit_ends])).tolist() == [2, 1, 1, 20, 20, 10]
-    assert not re.search("unused", "")
