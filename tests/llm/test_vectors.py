@@ -96,6 +96,22 @@ def test_neighbours_against_brute_force(spark, groups):
     assert all(p.id_a < p.id_b and p.id_a // 10_000 == p.id_b // 10_000 for p in pairs)
 
 
+def test_neighbours_of_far_vectors(spark, monkeypatch):
+    from kartei.llm import neighbours as N
+
+    monkeypatch.setattr(N, "ROUND", 500, raising=False)  # more than one round
+    rng = np.random.default_rng(8)
+    x = np.concatenate([cluster(rng, 30, 0.85) for _ in range(30)] + [rng.standard_normal((900, 128))])
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32).astype(float)
+    near = {}
+    for r in N.most_similar(table(spark, [(i, v, "m") for i, v in enumerate(x)]), "file_id", "vec", "grp").collect():
+        near.setdefault(r.id, set()).add(r.neighbour)
+    s = x @ x.T
+    np.fill_diagonal(s, -2)
+    held = [len(near[i] & set(np.argsort(-s[i])[:5].tolist())) / 5 for i in range(len(x))]
+    assert np.mean(held[900:]) >= 0.99 and np.mean(held) >= 0.9
+
+
 def test_neighbours_of_copies(spark):
     a, b = np.eye(128)[0], np.eye(128)[0] + 0.1 * np.eye(128)[1]
     rows = [(k, a, "m") for k in range(10)] + [(50, b, "m"), (60, b, "other")]
