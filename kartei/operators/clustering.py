@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from kartei.functions import vectors as V
 from kartei.plans.lineage import materialise
 
+#: Rows of a folder that are compared at once.
+BLOCK = 2000
+
 
 def average_linkage(x: np.ndarray, threshold: float) -> np.ndarray:
     """Labels of unit rows: clusters are merged while the mean similarity of the closest two reaches the threshold.
@@ -101,17 +104,58 @@ def clusters(vectors: DataFrame, threshold: float) -> DataFrame:
     return vectors.select("folder", "pos", "vec").groupBy("folder").applyInArrow(work, "folder string, pos long, cluster int, closest double")
 
 
+def block_pairs(vectors: DataFrame, key: str) -> DataFrame:
+    """vectors with own, low, high: every two rows of a folder meet in one (low, high), where each block holds about BLOCK rows.
+
+    A folder of n blocks sends each row to the n tasks of its block with each block."""
+    blocks = vectors.groupBy("folder").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_blocks"))
+    own = vectors.select("folder", key, "vec").join(blocks, "folder").withColumn("own", F.pmod(F.xxhash64(key), F.col("_blocks")).cast("int"))
+    met = own.withColumn("_partner", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    return met.select("folder", key, "vec", "own", F.least("own", "_partner").alias("low"), F.greatest("own", "_partner").alias("high"))
+
+
+def _sides(table: pa.Table, key: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids and rows of the low block, ids and rows of the high block), in the order of ids."""
+    table = table.sort_by(key)
+    x, ids, own = _matrix(table.column("vec")), np.asarray(table.column(key).combine_chunks()), np.asarray(table.column("own").combine_chunks())
+    low, high = (own == table.column(c)[0].as_py() for c in ("low", "high"))
+    return ids[low], x[low], ids[high], x[high]
+
+
 def similar_pairs(vectors: DataFrame, least: float, key: str = "pos") -> DataFrame:
     """(folder, a, b, similarity) of files of a folder with at least ``least``, a < b; only such pairs leave the task."""
 
     def work(table: pa.Table) -> pa.Table:
-        table = table.sort_by(key)
-        x, ids = _matrix(table.column("vec")), np.asarray(table.column(key).combine_chunks())
-        s = x @ x.T
-        a, b = np.nonzero(np.triu(s >= least, 1))
-        return pa.table({"folder": pa.array([table.column("folder")[0].as_py()] * len(a), pa.string()), "a": ids[a], "b": ids[b], "similarity": s[a, b]})
+        left, x, right, y = _sides(table, key)
+        s = x @ y.T
+        near = s >= least
+        if table.column("low")[0] == table.column("high")[0]:
+            near = np.triu(near, 1)
+        a, b = np.nonzero(near)
+        return pa.table({"folder": pa.array([table.column("folder")[0].as_py()] * len(a), pa.string()), "a": np.minimum(left[a], right[b]), "b": np.maximum(left[a], right[b]), "similarity": s[a, b]})
 
-    return vectors.select("folder", key, "vec").groupBy("folder").applyInArrow(work, "folder string, a long, b long, similarity double")
+    return block_pairs(vectors, key).groupBy("folder", "low", "high").applyInArrow(work, "folder string, a long, b long, similarity double")
+
+
+def closest(vectors: DataFrame) -> DataFrame:
+    """(folder, pos, closest): the greatest similarity to another file of the folder, 0 for a file that is alone."""
+
+    def work(table: pa.Table) -> pa.Table:
+        left, x, right, y = _sides(table, "pos")
+        s = np.clip(x @ y.T, -1.0, 1.0)
+        ids, best = [left], [s.max(1, initial=-np.inf)]
+        if table.column("low")[0] == table.column("high")[0]:
+            np.fill_diagonal(s, -np.inf)
+            best = [s.max(1, initial=-np.inf)]
+        else:
+            ids.append(right)
+            best.append(s.max(0, initial=-np.inf))
+        ids, best = np.concatenate(ids), np.concatenate(best)
+        return pa.table({"folder": pa.array([table.column("folder")[0].as_py()] * len(ids), pa.string()), "pos": ids, "closest": best})
+
+    found = block_pairs(vectors, "pos").groupBy("folder", "low", "high").applyInArrow(work, "folder string, pos long, closest double")
+    best = F.max("closest")
+    return found.groupBy("folder", "pos").agg(F.when(best > float("-inf"), best).otherwise(0.0).alias("closest"))
 
 
 def cluster_sizes(members: DataFrame) -> DataFrame:

@@ -43,17 +43,16 @@ def placed(files: DataFrame) -> DataFrame:
     return files.where("folder is not null").withColumn("pos", F.col("file_id"))
 
 
-def bounded(files: DataFrame) -> DataFrame:
-    """Folders over the limit are sampled evenly by name, as before any audit: what comes later sees bounded folders."""
-    return evenly_sampled(files, ["folder"], ["name", "file_id"], Settings().max_files_per_folder, "_at").drop("_at", "truncated")
-
-
 def unit_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    """(folder, pos, vec, topical): usable vectors at unit length; folders over the limit are sampled evenly."""
+    """(folder, pos, vec, topical): usable vectors at unit length."""
     rows = table(spark, sf, "vectors").where(V.is_usable(F.col("vec"), 128) & F.col("folder").isNotNull() & F.col("file_id").isNotNull())
     one = rows.groupBy("folder", F.col("file_id").alias("pos")).agg(F.max("vec").alias("vec"), F.max(F.coalesce("topical", F.lit(False))).alias("topical"))
-    kept = evenly_sampled(one, ["folder"], ["pos"], Settings().max_files_per_folder, "_at").drop("_at", "truncated")
-    return kept.select("folder", "pos", V.normalised(F.col("vec")).alias("vec"), "topical")
+    return one.select("folder", "pos", V.normalised(F.col("vec")).alias("vec"), "topical")
+
+
+def bounded(vectors: DataFrame) -> DataFrame:
+    """Folders over the limit are sampled evenly, as before any audit: average linkage holds a folder in one task."""
+    return evenly_sampled(vectors, ["folder"], ["pos"], Settings().max_files_per_folder, "_at").drop("_at", "truncated")
 
 
 def table_members(spark: SparkSession, sf: str) -> DataFrame:
@@ -265,12 +264,12 @@ def pair_similarity(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def closest_similarity(spark: SparkSession, sf: str) -> DataFrame:
-    return C.clusters(unit_vectors(spark, sf), 0.66).select("folder", F.col("pos").alias("file_id"), F.round("closest", 5).alias("closest"))
+    return C.closest(unit_vectors(spark, sf)).select("folder", F.col("pos").alias("file_id"), F.round("closest", 5).alias("closest"))
 
 
 @query
 def average_linkage(spark: SparkSession, sf: str) -> DataFrame:
-    return C.clusters(unit_vectors(spark, sf), 0.66).select("folder", F.col("pos").alias("file_id"), "cluster")
+    return C.clusters(bounded(unit_vectors(spark, sf)), 0.66).select("folder", F.col("pos").alias("file_id"), "cluster")
 
 
 @query
@@ -362,12 +361,12 @@ def label_separation(spark: SparkSession, sf: str) -> DataFrame:
 
 def _dated(spark: SparkSession, sf: str) -> DataFrame:
     seconds = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', mtime)") / 1e6
-    return bounded(placed(files_of(spark, sf)).where("name is not null").withColumn("mtime", F.coalesce(seconds, F.lit(0.0))))
+    return placed(files_of(spark, sf)).where("name is not null").withColumn("mtime", F.coalesce(seconds, F.lit(0.0)))
 
 
 @query
 def era_gaps(spark: SparkSession, sf: str) -> DataFrame:
-    rows = strata.kept_eras(strata.eras(_dated(spark, sf).select("folder", "pos", "mtime"), ["folder"], "mtime", 365 * 86400.0, "pos"), ["folder"])
+    rows = strata.kept_eras(strata.wide_eras(_dated(spark, sf).select("folder", "pos", "mtime"), ["folder"], "mtime", 365 * 86400.0, "pos"), ["folder"])
     return rows.groupBy("folder", "era").agg(F.count(F.lit(1)).alias("files"), F.round(F.min("mtime"), 3).alias("begin"), F.round(F.max("mtime"), 3).alias("end"))
 
 
@@ -382,7 +381,7 @@ def event_eras(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def era_dominant(spark: SparkSession, sf: str) -> DataFrame:
-    rows = strata.kept_eras(strata.eras(_dated(spark, sf).select("folder", "pos", "mtime"), ["folder"], "mtime", 365 * 86400.0, "pos"), ["folder"])
+    rows = strata.kept_eras(strata.wide_eras(_dated(spark, sf).select("folder", "pos", "mtime"), ["folder"], "mtime", 365 * 86400.0, "pos"), ["folder"])
     return strata.dominant(rows.join(table_members(spark, sf), ["folder", "pos"]), ["folder"], "mtime", "pos")
 
 
@@ -545,7 +544,7 @@ def folder_placement(spark: SparkSession, sf: str) -> DataFrame:
 def threshold_sweep(spark: SparkSession, sf: str) -> DataFrame:
     from kartei.calibrate import sweep
 
-    return sweep(unit_vectors(spark, sf), table_members(spark, sf))
+    return sweep(bounded(unit_vectors(spark, sf)), table_members(spark, sf))
 
 
 @query
