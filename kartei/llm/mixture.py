@@ -7,8 +7,9 @@ schedule each source is then less than one block away from its target.
 
 The schedule depends on the weights and the number of slots only, so it is computed on the
 driver for at most ``SLOTS`` slots; a block is total/SLOTS tokens, whatever the size of the
-collection, but never less than the longest text. Texts are whole, so a source is less than a
-block and a text away. Texts find their block by distributed prefix sums.
+collection and however long its texts. Texts are whole and belong to the block where they start, so a
+source is less than a block and a text away. A source too small for a slot of its own gets one
+behind the last. Texts find their block by distributed prefix sums.
 
 Without ``total_tokens`` the total is the largest at which every source that has texts can reach its
 weight within its repeats. Weights of sources without texts can't be reached; they are shared out
@@ -122,14 +123,14 @@ def mixture(documents: DataFrame, targets: DataFrame, doc_id: str = "doc_id", te
     spark = documents.sparkSession
     goals = clean_targets(targets)
     texts = materialise(distinct_texts(documents, goals, doc_id, text, source, tokenizer))
-    sums = texts.groupBy("source").agg(F.sum("tokens").alias("available"), F.count(F.lit(1)).alias("texts"), F.max("tokens").alias("longest"))
+    sums = texts.groupBy("source").agg(F.sum("tokens").alias("available"), F.count(F.lit(1)).alias("texts"))
     # One row per target: as small as the list of targets itself.
     table = goals.join(sums, "source", "left").orderBy("source").toPandas()
     names = table["source"].tolist()
     weights = table["weight"].to_numpy(float)
     available = table["available"].fillna(0).to_numpy(float)
     quota = quotas(weights, available * table["max_repeats"].to_numpy(float), total_tokens)
-    block = max(quota.sum() / slots, table["longest"].fillna(0).max() if len(table) else 0, 1)
+    block = max(quota.sum() / slots, 1)
     slots = int(-(-quota.sum() // block))
     order = pfair((quota / max(quota.sum(), 1e-9)).tolist(), slots) if quota.sum() > 0 else np.zeros(0, np.int32)
     count = np.zeros(len(names), np.int64)
@@ -137,6 +138,9 @@ def mixture(documents: DataFrame, targets: DataFrame, doc_id: str = "doc_id", te
     for slot, s in enumerate(order.tolist()):
         schedule.append((names[s], int(count[s]), slot))
         count[s] += 1
+    for s in np.flatnonzero((quota > 0) & (count == 0)).tolist():
+        schedule.append((names[s], 0, len(schedule)))
+        count[s] += 1
     last = {names[s]: int(c) - 1 for s, c in enumerate(count)}
     plan = [(n, float(q), int(-(-q // a)) if a else 0, last.get(n, -1), float(a)) for n, q, a in zip(names, quota, available) if q > 0]
     plan_df = spark.createDataFrame(pd.DataFrame(plan, columns=["source", "quota", "passes", "last_block", "available"]) if plan else [], "source string, quota double, passes int, last_block long, available double")

@@ -262,6 +262,20 @@ def test_mixture(spark):
         assert all(abs(given_[s] - out[s].share * whole) < 3 * block for s in limit)
 
 
+def test_one_long_text_drops_no_source(spark):
+    rng = random.Random(3)
+    sizes = {"big": 200, "mid": 40, "small": 12, "tiny": 6}
+    rows = [(s, sentence(rng, 10)) for s, n in sizes.items() for _ in range(n)] + [("big", sentence(rng, 1500))]
+    df = spark.createDataFrame([(i, t, s) for i, (s, t) in enumerate(rows)], "doc_id long, text string, source string")
+    goals = spark.createDataFrame([("big", 0.8, 1), ("mid", 0.16, 1), ("small", 0.025, 1), ("tiny", 0.015, 1)], "source string, weight double, max_repeats int")
+    mixed, report = mixture(df, goals, slots=50)
+    out = {r.source: r for r in report.collect()}
+    assert all(r.used_tokens > 0 for r in out.values()) and out["mid"].share == pytest.approx(0.16, abs=0.08)
+    assert {r.source for r in mixed.select("source").distinct().collect()} == set(sizes)
+    # Fewer slots than sources: those without a slot of their own come behind the last.
+    assert all(r.used_tokens > 0 for r in mixture(df, goals, slots=3)[1].collect())
+
+
 def test_empty_mixture(spark):
     docs, goals = spark.createDataFrame([(1, "a b", "s")], "doc_id long, text string, source string"), spark.createDataFrame([("s", 1.0, None)], "source string, weight double, max_repeats int")
     assert mixture(docs.limit(0), goals)[0].count() == 0 and mixture(docs, goals.limit(0))[1].count() == 0
