@@ -34,8 +34,8 @@ def depth(text: str) -> int:
 
 def threshold(text: str) -> float:
     value = float(text)
-    if not 0 < value <= 1:
-        raise argparse.ArgumentTypeError("must be above 0 and at most 1")
+    if not 0 < value < 1:
+        raise argparse.ArgumentTypeError("must lie between 0 and 1")
     return value
 
 
@@ -51,13 +51,13 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("paths", nargs="*", help="folders, files or patterns; - reads them from standard input (default: .)")
     form = p.add_mutually_exclusive_group()
     form.add_argument("-j", "--json", action="store_true", help="one JSON document")
-    form.add_argument("--jsonl", action="store_true", help="one JSON object a line")
-    p.add_argument("-d", "--depth", type=depth, help="report folders down to this depth only; evidence is from all")
+    form.add_argument("--jsonl", "--json-lines", action="store_true", help="one JSON object a line")
+    p.add_argument("-d", "--depth", "--max-depth", type=depth, help="report folders down to this depth only; evidence is from all")
     p.add_argument("-a", "--all", action="store_true", dest="judge_all", help="judge folders with few files, too")
     p.add_argument("--show", type=show, default=frozenset(), help="tidy, skipped, all; comma-separated")
-    p.add_argument("--st", action="store_true", dest="show_tidy", help=argparse.SUPPRESS)
-    p.add_argument("--ss", action="store_true", dest="show_skipped", help=argparse.SUPPRESS)
-    p.add_argument("--sa", action="store_true", dest="show_both", help=argparse.SUPPRESS)
+    p.add_argument("--st", "--show-tidy", action="store_true", dest="show_tidy", help=argparse.SUPPRESS)
+    p.add_argument("--ss", "--show-skipped", action="store_true", dest="show_skipped", help=argparse.SUPPRESS)
+    p.add_argument("--sa", "--show-all", action="store_true", dest="show_both", help=argparse.SUPPRESS)
     p.add_argument("--hidden", action="store_true", help="include hidden files")
     p.add_argument("-t", "--threshold", type=threshold, help="similarity from which files go together")
     p.add_argument("-m", "--min-verdict", default="lived-in", help="mildest verdict shown")

@@ -21,5 +21,5 @@ def overcrowded(f: Frames) -> DataFrame:
     rows = crowding(f.folders, limit)
     if not f.settings.report_crowding:
         rows = rows.where(F.lit(False))
-    headline = F.concat(F.col("count").cast("string"), F.lit(" files sit loose in this one folder."))
-    return finding(rows, "overcrowded", F.col("severity"), headline, F.lit(f"Past about {limit}, a flat folder stops being browsable."), F.array().cast("array<string>"), F.struct("count", F.lit(limit).alias("soft_limit")))
+    headline = F.concat(F.col("count").cast("string"), F.lit(" files on one level."))
+    return finding(rows, "overcrowded", F.col("severity"), headline, F.lit(f"A level is counted as crowded from {limit + 1} files on."), F.array().cast("array<string>"), F.struct("count", F.lit(limit).alias("soft_limit")))

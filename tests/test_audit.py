@@ -83,7 +83,7 @@ def test_debris_and_piles(audited):
 
 
 def test_copies(audited):
-    assert "2 identical" in found(audited["/copies"], "duplicates").detail and "duplicates" not in codes(audited["/pair"])
+    assert "2 byte for byte" in found(audited["/copies"], "duplicates").detail and "duplicates" not in codes(audited["/pair"])
 
 
 def test_crowding(audited):
@@ -96,7 +96,7 @@ def test_eras(audited):
 
 def test_misfiled(audited):
     item = found(audited["/loose"], "misfiled_neighbours")
-    assert json.loads(item.data)["count"] == 3 and item.detail == "3 of them resemble ./child."
+    assert json.loads(item.data)["count"] == 3 and item.detail == "3 belong with what lies in child/."
 
 
 def test_few_files_are_not_judged(audited):

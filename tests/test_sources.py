@@ -90,8 +90,8 @@ def test_image_size(data, size):
 
 
 def test_image_words():
-    assert binary.image_words({"Make": "Acme", "Model": "One", "DateTime": "2024:01:01"}) == ["photograph", "camera", "Acme", "One", "2024"]
-    assert binary.image_words({"Software": "Epson X"})[0] == "scanned document" and binary.image_words({"Software": "SnipTool"})[0] == "screenshot" and binary.image_words({}) == []
+    assert binary.Origin.of({"Make": "Acme", "Model": "One", "DateTime": "2024:01:01"}).words() == ["photograph", "camera", "Acme", "One", "2024"]
+    assert binary.Origin.of({"Software": "Epson X"}).words()[0] == "scanned document" and binary.Origin.of({"Software": "SnipTool"}).words()[0] == "screenshot" and binary.Origin.of({}).words() == []
 
 
 def test_phrases():
