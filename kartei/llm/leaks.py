@@ -1,16 +1,17 @@
 """Problem 6: evaluation passages inside training documents.
 
-Method: greedy string tiling. Seeds are windows of ``seed`` words that a document shares with an
-item, found by Karp-Rabin values; for each (document, item) with a seed, the longest matching
-runs that don't overlap are marked again and again, longest first, until none of ``seed`` words
-is left. The tiles' total over the item's words is its coverage, so reordered passages count.
+Method: greedy string tiling. Seeds are windows of ``seed`` words that a document shares with an item, by their
+Karp-Rabin values; they are joined. For each (document, item) with a common seed, the longest matching runs that don't overlap
+are marked again and again, longest first, until none of ``seed`` words is left. The tiles' total over the item's words is its
+coverage, so reordered passages count.
 
-The test items are a stated query set: they are read in blocks of bounded size, each block is
-broadcast and held against all documents. Documents are never shuffled.
+Items may be a table of any size. The documents are read once: a bit table of the items' seeds (``FILTER_BITS`` at most, so of
+bounded size) tells which windows may be seeds; what passes goes on with its values to the join, which is exact. So only
+documents that may share something are ever shuffled, and only once for all items.
 
 Defined results: null, blank and wordless texts and null ids leak nothing; items shorter than
-``seed`` words can't be found; exact repeated rows count once; a document id with several
-texts is judged by each text and reported once per item with its best values.
+``seed`` words can't be found; exact repeated rows count once; a document or item id with several
+texts is judged by each text and reported once per pair of ids with its best values.
 """
 
 from __future__ import annotations
@@ -19,93 +20,109 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from .words import encode_known, owners, rolling, window_mask, words_of
+from kartei.plans.lineage import materialise
 
-#: Characters of item text that one broadcast block holds at most.
-BLOCK_CHARS = 8_000_000
+from .words import hashed, owners, rolling, window_mask, words_of
+
+#: Bits of the table of seeds: 32 for each window of the items, at most so many (64 MB).
+FILTER_BITS = 1 << 29
 SCHEMA = "doc_id long, item_id long, item_words int, tiles int, matched int, longest int, coverage double"
 
 
-class ItemIndex:
-    """The words of a block of items as ids, and where each window of ``seed`` words occurs."""
-
-    def __init__(self, rows: list[tuple[int, str]], seed: int) -> None:
-        self.seed, self.known, self.items = seed, {}, []
-        for item, text in rows:
-            words = words_of(text)
-            if len(words) >= seed:
-                self.items.append((item, np.array([self.known.setdefault(w, len(self.known)) for w in words], dtype=np.int64)))
-        ids = [x for _, x in self.items]
-        ends = np.cumsum([0, *map(len, ids)])
-        flat = np.concatenate(ids) if ids else np.zeros(0, np.int64)
-        h, inside = rolling(flat, seed), window_mask(ends, seed)
-        at = np.nonzero(inside)[0]
-        order = np.argsort(h[at], kind="stable")
-        self.values, self.at = h[at][order], at[order]
-        self.owner = owners(ends)
-
-    def seeds(self, flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (list, item number) that share a window, each once."""
-        known = flat >= 0
-        if len(flat) < self.seed or not len(self.values):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        run = np.concatenate([[0], np.cumsum(known)])
-        may = (run[self.seed :] - run[: -self.seed] == self.seed) & window_mask(ends, self.seed)
-        at = np.nonzero(may)[0]
-        if not len(at):
-            return at, at
-        h = rolling(flat, self.seed)[at]
-        low, high = np.searchsorted(self.values, h), np.searchsorted(self.values, h, side="right")
-        hit = high > low
-        low, n, at = low[hit], (high - low)[hit], at[hit]
-        lists = np.repeat(owners(ends)[at], n)
-        first = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
-        items = self.owner[self.at[first + np.arange(len(first))]]
-        pairs = np.unique(lists * len(self.items) + items)
-        return pairs // len(self.items), pairs % len(self.items)
+def windows(texts: list[str], seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, value) of all windows of ``seed`` words."""
+    flat, ends = hashed(map(words_of, texts))
+    inside = np.nonzero(window_mask(ends, seed))[0]
+    return owners(ends)[inside], rolling(flat, seed)[inside]
+
+
+def seed_rows(texts: DataFrame, seed: int, bits: np.ndarray | None = None) -> DataFrame:
+    """(id, text, seeds): texts with their distinct windows, those of which the bit table has; none without any."""
+    shared = texts.sparkSession.sparkContext.broadcast(bits)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        for batch in batches:
+            for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
+                own, value = windows(part.column(1).to_pylist(), seed)
+                if table is not None:
+                    at = value & np.uint64(8 * len(table) - 1)
+                    held = table[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1 > 0
+                    own, value = own[held], value[held]
+                if not len(own):
+                    continue
+                order = np.lexsort((value, own))
+                own, value = own[order], value[order]
+                new = np.concatenate([[True], (own[1:] != own[:-1]) | (value[1:] != value[:-1])])
+                own, value = own[new], value[new].view(np.int64)
+                rows, first = np.unique(own, return_index=True)
+                seeds = pa.ListArray.from_arrays(pa.array([*first, len(own)], pa.int32()), pa.array(value))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), part.column(1).take(pa.array(rows)), seeds], names=["id", "text", "seeds"])
+
+    return texts.mapInArrow(work, "id long, text string, seeds array<long>")
+
+
+def bit_table(items: DataFrame) -> np.ndarray:
+    """Bits of the seeds of (seeds), or'ed together from a table of each task's bytes that hold any."""
+    n = items.agg(F.sum(F.size("seeds"))).first()[0] or 0
+    size = 1 << max(10, min(FILTER_BITS, 32 * n).bit_length() - 1)
+    # A row for each byte that has a bit: no more rows than seeds and than bytes of the table.
+    place = F.col("h").bitwiseAND(F.lit(size - 1))
+    bytes_ = items.select(F.explode("seeds").alias("h")).select(F.shiftright(place, 3).alias("at"), F.expr("shiftleft(1, cast(h & 7 as int))").alias("bit"))
+    rows = bytes_.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    table = np.zeros(size >> 3, np.uint8)
+    table[np.asarray(rows.column("at"))] = np.asarray(rows.column("bits")).astype(np.uint8)
+    return table
 
 
 def tile(a: np.ndarray, b: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """Greedy string tiling of two id arrays: (start in a, start in b, length), longest first.
 
-    Ties go to the smaller start in a, then in b. Each word is used once on either side.
+    Ties go to the smaller start in a, then in b. Each word is used once on either side. The longest length at which free
+    windows agree is found by bisection over Karp-Rabin values; then all runs of that length are marked. A level takes time in
+    proportion to the texts, however often they repeat themselves.
     """
     free_a, free_b = a >= 0, b >= 0
     tiles: list[tuple[int, int, int]] = []
-    while True:
-        # Candidate starts: pairs of free windows of `least` words with the same value.
-        found: list[tuple[int, int, int]] = []
-        ha, hb = rolling(a, least), rolling(b, least)
-        wa, wb = _free_windows(free_a, least), _free_windows(free_b, least)
-        if not len(wa) or not len(wb):
-            return tiles
-        order = wb[np.argsort(hb[wb], kind="stable")]
-        low, high = np.searchsorted(hb[order], ha[wa]), np.searchsorted(hb[order], ha[wa], side="right")
-        starts = {}
-        for i, lo, hi in zip(wa[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist()):
-            for j in order[lo:hi].tolist():
-                if i and j and (i - 1, j - 1) in starts:  # inside the run that began before
-                    starts[i, j] = starts[i - 1, j - 1]
-                    continue
-                starts[i, j] = (i, j)
-                n = _run(a, b, free_a, free_b, i, j)
-                if n >= least:
-                    found.append((n, i, j))
-        if not found:
-            return tiles
-        # Runs in order of length; one that meets a marked word waits for the next round.
-        found.sort(key=lambda x: (-x[0], x[1], x[2]))
-        longest_left = 0
-        for n, i, j in found:
-            if n < longest_left:
-                break  # a cut run may still hold a longer free part than this one
-            if free_a[i : i + n].all() and free_b[j : j + n].all():
-                free_a[i : i + n] = free_b[j : j + n] = False
-                tiles.append((i, j, n))
-            else:
-                longest_left = max(longest_left, _longest_free(free_a[i : i + n] & free_b[j : j + n]))
+    values: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def free_windows(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        if n not in values:
+            values[n] = rolling(a, n), rolling(b, n)
+        wa, wb = _free_windows(free_a, n), _free_windows(free_b, n)
+        return wa, wb, values[n][0][wa], values[n][1][wb]
+
+    def agree(n: int) -> bool:
+        _, _, ha, hb = free_windows(n)
+        return len(ha) > 0 and len(hb) > 0 and bool(np.isin(ha, hb).any())
+
+    longest = min(len(a), len(b))
+    while longest >= least and agree(least):
+        low, high = least, longest
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if agree(middle) else (low, middle - 1)
+        longest = low
+        wa, wb, ha, hb = free_windows(longest)
+        order = np.argsort(hb, kind="stable")
+        starts_b, sorted_b = wb[order], hb[order]
+        first, behind = np.searchsorted(sorted_b, ha), np.searchsorted(sorted_b, ha, side="right")
+        turn: dict[int, int] = {}
+        for i, lo, hi in zip(wa[behind > first].tolist(), first[behind > first].tolist(), behind[behind > first].tolist()):
+            if not free_a[i : i + longest].all():
+                continue
+            at = turn.get(lo, lo)
+            while at < hi and not free_b[starts_b[at] : starts_b[at] + longest].all():
+                at += 1  # what is marked stays marked
+            turn[lo] = at
+            if at < hi:
+                j = int(starts_b[at])
+                free_a[i : i + longest] = free_b[j : j + longest] = False
+                tiles.append((i, j, longest))
+        longest -= 1
+    return tiles
 
 
 def _free_windows(free: np.ndarray, length: int) -> np.ndarray:
@@ -113,62 +130,43 @@ def _free_windows(free: np.ndarray, length: int) -> np.ndarray:
     return np.nonzero(run[length:] - run[:-length] == length)[0] if len(free) >= length else np.zeros(0, np.int64)
 
 
-def _longest_free(free: np.ndarray) -> int:
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], free.view(np.int8), [0]])))
-    return int((edges[1::2] - edges[::2]).max()) if len(edges) else 0
-
-
-def _run(a: np.ndarray, b: np.ndarray, free_a: np.ndarray, free_b: np.ndarray, i: int, j: int) -> int:
-    n = min(len(a) - i, len(b) - j)
-    same = (a[i : i + n] == b[j : j + n]) & free_a[i : i + n] & free_b[j : j + n]
-    return n if same.all() else int(np.argmin(same))
+def tiled(pairs: DataFrame, seed: int) -> DataFrame:
+    """From (doc_id, item_id, doc_text, item_text): one row per pair that has tiles."""
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            known: dict[str, np.ndarray] = {}  # texts come again within a batch
 
-def _tiles_of(index: ItemIndex, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids = batch.column(0).to_pylist()
-        flat, ends = encode_known(map(words_of, batch.column(1).to_pylist()), index.known)
-        out: list[tuple] = []
-        for k, m in zip(*(x.tolist() for x in index.seeds(flat, ends))):
-            item, words = index.items[m]
-            tiles = tile(flat[ends[k] : ends[k + 1]], words, index.seed)
-            if tiles:
-                matched = sum(n for _, _, n in tiles)
-                out.append((ids[k], item, len(words), len(tiles), matched, tiles[0][2], matched / len(words)))
-        columns = list(zip(*out)) or [[]] * 7
-        types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.float64())
-        names = ["doc_id", "item_id", "item_words", "tiles", "matched", "longest", "coverage"]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+            def words(text: str, known=known) -> np.ndarray:
+                if text not in known:
+                    # Values below 2**63, so that no word counts as marked.
+                    known[text] = (hashed([words_of(text)])[0] >> np.uint64(1)).astype(np.int64)
+                return known[text]
 
+            for doc, item, a, b in zip(*(c.to_pylist() for c in batch.columns)):
+                x, y = words(a), words(b)
+                if found := tile(x, y, seed):
+                    matched = sum(n for _, _, n in found)
+                    out.append((doc, item, len(y), len(found), matched, found[0][2], matched / len(y)))
+            columns = list(zip(*out)) or [[]] * 7
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
-def item_blocks(items: DataFrame, item_id: str, text: str, block_chars: int) -> Iterator[list[tuple[int, str]]]:
-    """The distinct items in blocks of about ``block_chars`` characters, one block in memory at a time."""
-    rows = items.where(F.col(item_id).isNotNull() & F.col(text).isNotNull()).select(F.col(item_id).cast("long").alias("i"), F.col(text).alias("t")).distinct()
-    total = rows.agg(F.sum(F.length("t"))).first()[0] or 0
-    blocks = -(-total // block_chars)
-    if blocks <= 1:
-        yield sorted(map(tuple, rows.collect()))
-        return
-    for k in range(blocks):
-        yield sorted(map(tuple, rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).collect()))
+    return pairs.select("doc_id", "item_id", "doc_text", "item_text").mapInArrow(work, SCHEMA)
 
 
-def leaked_passages(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", seed: int = 8, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def leaked_passages(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", seed: int = 8) -> DataFrame:
     """One row per document and item that share at least one tile of ``seed`` words."""
-    spark: SparkSession = documents.sparkSession
-    texts = documents.where(F.col(doc_id).isNotNull() & F.col(doc_text).isNotNull()).select(F.col(doc_id).cast("long"), doc_text)
-    found = None
-    for block in item_blocks(items, item_id, item_text, block_chars):
-        shared = spark.sparkContext.broadcast(block)
-        cache: dict = {}
-
-        def search(batches: Iterator[pa.RecordBatch], shared=shared, cache=cache) -> Iterator[pa.RecordBatch]:
-            return _tiles_of(cache.setdefault("index", ItemIndex(shared.value, seed)), batches)
-
-        part = texts.mapInArrow(search, SCHEMA)
-        found = part if found is None else found.unionByName(part)
+    plain = lambda df, key, text: df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    of_items = materialise(seed_rows(plain(items, item_id, item_text).distinct(), seed).withColumn("item", F.monotonically_increasing_id()))
+    found = seed_rows(plain(documents, doc_id, doc_text), seed, bit_table(of_items))
+    of_docs = materialise(found.withColumn("doc", F.monotonically_increasing_id()))
+    seeds = lambda df, key: df.select(key, F.explode("seeds").alias("h"))
+    pairs = seeds(of_docs, "doc").join(seeds(of_items, "item"), "h").select("doc", "item").distinct()
+    texts = pairs.join(of_docs.select("doc", F.col("id").alias("doc_id"), F.col("text").alias("doc_text")), "doc").join(of_items.select("item", F.col("id").alias("item_id"), F.col("text").alias("item_text")), "item")
     best = [F.max("item_words").alias("item_words"), *(F.max(c).alias(c) for c in ("tiles", "matched", "longest", "coverage"))]
-    return found.groupBy("doc_id", "item_id").agg(*best)
+    return tiled(texts, seed).groupBy("doc_id", "item_id").agg(*best)
 
 
 def leaks(tiles: DataFrame, least_run: int = 12, least_coverage: float = 0.5) -> DataFrame:

@@ -5,11 +5,12 @@ counts. Block k of a source with weight w may begin at slot floor(k/w) and must
 ceil((k+1)/w); slots go to the released block with the earliest deadline. At every prefix of the
 schedule each source is then less than one block away from its target.
 
-The schedule depends on the weights and the number of slots only, so it is computed on the
-driver for at most ``SLOTS`` slots; a block is total/SLOTS tokens, whatever the size of the
-collection and however long its texts. Texts are whole and belong to the block where they start, so a
-source is less than a block and a text away. A source too small for a slot of its own gets one
-behind the last. Texts find their block by distributed prefix sums.
+A block has ``BLOCK_TOKENS`` tokens, or less where the total would give fewer than ``SLOTS`` blocks; so
+interleaving doesn't get coarser with the collection. The driver schedules one period of at most ``PERIOD`` slots. More blocks go
+through the same period again and again: of a source with B blocks and P periods, blocks ceil(pB/P) to ceil((p+1)B/P) go to
+period p, one more or less than in another, so nothing drifts over periods and a slot that stays empty is just a gap in the
+numbering. Texts are whole and belong to the block where they start, so a source is less than a block and a text away (two
+blocks and a text with several periods). Texts find their block by distributed prefix sums.
 
 Without ``total_tokens`` the total is the largest at which every source that has texts can reach its
 weight within its repeats. Weights of sources without texts can't be reached; they are shared out
@@ -26,7 +27,6 @@ an empty mixture.
 from __future__ import annotations
 
 import heapq
-from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -36,7 +36,7 @@ from kartei.plans.lineage import materialise
 
 from .tokens import TOKENIZER, token_counts
 
-SLOTS = 4000
+BLOCK_TOKENS, SLOTS, PERIOD = 16_384, 4000, 65_536
 #: Texts of one source in one window task.
 BUCKET_TEXTS = 50_000
 
@@ -45,32 +45,22 @@ def source_key(source: str) -> F.Column:
     return F.regexp_replace(F.lower(F.trim(F.col(source))), r"[\s\-]+", "_")
 
 
-def pfair(weights: list[float], slots: int) -> np.ndarray:
-    """For each slot, the number of the source that has it. Weights are normalised to sum 1."""
-    exact = [Fraction(w).limit_denominator(10**9) for w in weights]
-    total = sum(exact)
-    exact = [w / total for w in exact]
+def pfair(counts: list[int]) -> np.ndarray:
+    """For each of sum(counts) slots, the number of the source that has it; source s has counts[s] of them."""
+    slots = sum(counts)
     out = np.empty(slots, np.int32)
     released: list[tuple[int, int, int]] = []  # deadline, source, block
-    waiting: list[tuple[int, int, int]] = []  # release, source, block
-
-    def window(s: int, k: int) -> tuple[int, int]:
-        w = exact[s]
-        return int(k / w), -int(-(k + 1) / w // 1)
-
-    for s, w in enumerate(exact):
-        if w > 0:
-            heapq.heappush(waiting, (0, s, 0))
+    # Block k of a source with n of the slots: released at floor(k slots / n), due at ceil((k + 1) slots / n).
+    waiting = [(0, s, 0) for s, n in enumerate(counts) if n > 0]
+    heapq.heapify(waiting)
     for slot in range(slots):
         while waiting and waiting[0][0] <= slot:
             _, s, k = heapq.heappop(waiting)
-            heapq.heappush(released, (window(s, k)[1], s, k))
-        if not released:  # only by rounding of the weights
-            _, s, k = heapq.heappop(waiting)
-            heapq.heappush(released, (window(s, k)[1], s, k))
+            heapq.heappush(released, (-(-(k + 1) * slots // counts[s]), s, k))
         _, s, k = heapq.heappop(released)
         out[slot] = s
-        heapq.heappush(waiting, (max(slot + 1, window(s, k + 1)[0]), s, k + 1))
+        if k + 1 < counts[s]:
+            heapq.heappush(waiting, (max(slot + 1, (k + 1) * slots // counts[s]), s, k + 1))
     return out
 
 
@@ -114,11 +104,12 @@ def clean_targets(targets: DataFrame, source: str = "source", weight: str = "wei
     )
 
 
-def mixture(documents: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", total_tokens: float | None = None, slots: int = SLOTS, tokenizer: str = TOKENIZER) -> tuple[DataFrame, DataFrame]:
+def mixture(documents: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", total_tokens: float | None = None, slots: int = SLOTS, period: int = PERIOD, block_tokens: int = BLOCK_TOKENS, tokenizer: str = TOKENIZER) -> tuple[DataFrame, DataFrame]:
     """(the mixture, the report by source).
 
     Mixture: (slot, source, doc_id, repeat, tokens, start), to be read in the order of slot, source,
-    start. Report: (source, weight, max_repeats, available_tokens, used_tokens, share, most_repeats, deviation).
+    start. Report: (source, weight, max_repeats, available_tokens, used_tokens, share, most_repeats, deviation, reachable,
+    deviation_reachable): reachable is the weight among the sources that have texts, as far as they last.
     """
     spark = documents.sparkSession
     goals = clean_targets(targets)
@@ -130,21 +121,14 @@ def mixture(documents: DataFrame, targets: DataFrame, doc_id: str = "doc_id", te
     weights = table["weight"].to_numpy(float)
     available = table["available"].fillna(0).to_numpy(float)
     quota = quotas(weights, available * table["max_repeats"].to_numpy(float), total_tokens)
-    block = max(quota.sum() / slots, 1)
-    slots = int(-(-quota.sum() // block))
-    order = pfair((quota / max(quota.sum(), 1e-9)).tolist(), slots) if quota.sum() > 0 else np.zeros(0, np.int32)
-    count = np.zeros(len(names), np.int64)
-    schedule = []
-    for slot, s in enumerate(order.tolist()):
-        schedule.append((names[s], int(count[s]), slot))
-        count[s] += 1
-    for s in np.flatnonzero((quota > 0) & (count == 0)).tolist():
-        schedule.append((names[s], 0, len(schedule)))
-        count[s] += 1
-    last = {names[s]: int(c) - 1 for s, c in enumerate(count)}
-    plan = [(n, float(q), int(-(-q // a)) if a else 0, last.get(n, -1), float(a)) for n, q, a in zip(names, quota, available) if q > 0]
-    plan_df = spark.createDataFrame(pd.DataFrame(plan, columns=["source", "quota", "passes", "last_block", "available"]) if plan else [], "source string, quota double, passes int, last_block long, available double")
-    schedule_df = spark.createDataFrame(pd.DataFrame(schedule, columns=["source", "block", "slot"]) if schedule else [], "source string, block long, slot int")
+    block = max(1.0, min(block_tokens, quota.sum() / slots))
+    blocks = np.ceil(quota / block).astype(np.int64)
+    periods = max(1, -(-int(blocks.sum()) // period))
+    order = pfair((-(-blocks // periods)).tolist())
+    schedule = [(names[s], k, slot) for s in range(len(names)) for k, slot in enumerate(np.flatnonzero(order == s).tolist())]
+    plan = [(n, float(q), int(-(-q // a)), int(b), float(a)) for n, q, b, a in zip(names, quota, blocks, available) if q > 0]
+    plan_df = spark.createDataFrame(pd.DataFrame(plan, columns=["source", "quota", "passes", "blocks", "available"]) if plan else [], "source string, quota double, passes int, blocks long, available double")
+    schedule_df = spark.createDataFrame(pd.DataFrame(schedule, columns=["source", "place", "in_period"]) if schedule else [], "source string, place long, in_period long")
 
     # Prefix sums of each source's texts, in the order of a hash: sums of buckets first, then inside a bucket.
     buckets = max(1, -(-int(table["texts"].fillna(0).max() if len(table) else 0) // BUCKET_TEXTS))
@@ -157,16 +141,22 @@ def mixture(documents: DataFrame, targets: DataFrame, doc_id: str = "doc_id", te
     streamed = placed.join(F.broadcast(offsets) if buckets * len(names) <= 100_000 else offsets, ["source", "bucket"]).withColumn("once", start)
     passes = streamed.join(F.broadcast(plan_df), "source").withColumn("repeat", F.explode(F.sequence(F.lit(1), F.col("passes"))))
     starts = passes.withColumn("start", (F.col("once") + (F.col("repeat") - 1) * F.col("available")).cast("long"))
-    used = starts.where(F.col("start") + F.col("tokens") / 2 < F.col("quota")).withColumn("block", F.least(F.floor(F.col("start") / block), F.col("last_block")))
-    mixed = used.join(F.broadcast(schedule_df), ["source", "block"]).select("slot", "source", "doc_id", F.col("repeat").cast("int").alias("repeat"), "tokens", "start")
+    used = starts.where(F.col("start") + F.col("tokens") / 2 < F.col("quota")).withColumn("block", F.least(F.floor(F.col("start") / block), F.col("blocks") - 1))
+    # Whole numbers throughout: a block at the border of two periods must fall into exactly one.
+    turned = used.withColumn("turn", F.expr(f"(block * {periods}L) div blocks"))
+    placed_blocks = turned.withColumn("place", F.expr(f"block - ((turn * blocks + {periods - 1}L) div {periods}L)"))
+    mixed = placed_blocks.join(F.broadcast(schedule_df), ["source", "place"]).select((F.col("turn") * len(order) + F.col("in_period")).cast("long").alias("slot"), "source", "doc_id", F.col("repeat").cast("int").alias("repeat"), "tokens", "start")
 
     given = mixed.groupBy("source").agg(F.sum("tokens").alias("used_tokens"), F.max("repeat").alias("most_repeats"))
     whole = given.agg(F.sum("used_tokens").alias("whole"))
+    part = pd.DataFrame({"source": names, "reachable": quota / max(quota.sum(), 1e-9)})
+    reachable = spark.createDataFrame(part if names else [], "source string, reachable double")
     share = F.coalesce(F.col("used_tokens") / F.col("whole"), F.lit(0.0))
     report = (
         goals.join(sums, "source", "left")
         .join(given, "source", "left")
         .join(F.broadcast(whole), how="cross")  # one row
-        .select("source", "weight", "max_repeats", F.coalesce("available", F.lit(0)).alias("available_tokens"), F.coalesce("used_tokens", F.lit(0)).alias("used_tokens"), share.alias("share"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"), (share - F.col("weight")).alias("deviation"))
+        .join(F.broadcast(reachable), "source")
+        .select("source", "weight", "max_repeats", F.coalesce("available", F.lit(0)).alias("available_tokens"), F.coalesce("used_tokens", F.lit(0)).alias("used_tokens"), share.alias("share"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"), (share - F.col("weight")).alias("deviation"), "reachable", (share - F.col("reachable")).alias("deviation_reachable"))
     )
     return mixed, report

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 from kartei.plans.lineage import materialise
 
 from .components import components
-from .words import rolling, scramble, words_of
+from .words import hash_word, rolling, scramble, words_of
 
 TREES, DEPTH, LEAST_DEPTH, REGION = 32, 6, 2, 48
 #: Texts under one prefix from which on the next minhash joins the key of the shuffle.
@@ -56,19 +56,6 @@ def _shingle_rows(batches: Iterator[pa.RecordBatch], size: int, least_words: int
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), flat)], names=["id", "digest", "shingles"])
 
 
-_WORDS: dict[str, int] = {}
-
-
-def hash_word(word: str) -> int:
-    """A stable 63-bit hash; remembered for the common words of a worker."""
-    h = _WORDS.get(word)
-    if h is None:
-        h = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") >> 1
-        if len(_WORDS) < 200_000:
-            _WORDS[word] = h
-    return h
-
-
 def _signatures(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Minhashes (sets, TREES * DEPTH) as int32 of non-empty sets that lie one after another."""
     x = scramble(flat.view(np.uint32))

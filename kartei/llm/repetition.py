@@ -3,8 +3,8 @@
 Method: line sequence labelling. A text is cut into units (lines and sentences, at most
 ``UNIT_WORDS`` words each); a linear-chain conditional random field over features of each unit
 labels it content or repeated boilerplate by Viterbi decoding; the share of words in content
-units decides whether a document is kept. Besides, the shares of repeated five-word sequences
-are counted exactly, over the whole text.
+units decides whether a document is kept, and which ones are held to be repetitive. The shares of repeated five-word
+sequences, counted exactly over the whole text, confirm the latter.
 
 The field is trained here: from a bounded sample of clean documents (``TRAIN_TEXTS``, the only
 bounded part) into which repeats are planted, so that the labels are known. All documents are
@@ -276,6 +276,9 @@ def repetition(documents: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def repetitive(labelled: DataFrame, least_words: int = 50, tenths: int = 3) -> DataFrame:
-    """Documents in which the field found repeated units and the exact share reaches tenths/10."""
-    repeated = F.col("sequences") - F.col("distinct_sequences")
-    return labelled.where((F.col("n_words") >= least_words) & (F.col("repeated_units") > 0) & (10 * repeated >= tenths * F.col("sequences")))
+    """Documents whose share of repeated sequences is at least tenths/10.
+
+    The field chooses them: those of whose words it labels at least half that share as repeated. The exact count follows on
+    what it chose, as units are labelled whole and sequences are counted by the word."""
+    chosen = labelled.where((F.col("n_words") >= least_words) & (F.col("content_share") <= 1 - tenths / 20))
+    return chosen.where(10 * (F.col("sequences") - F.col("distinct_sequences")) >= tenths * F.col("sequences"))

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, functions as F
 
-#: Where the vocabulary files lie; a parameter everywhere.
+#: Where the vocabulary files lie; a parameter everywhere. The driver sends the file to all executors.
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: How such vocabularies split text before merging (a fixed value of the format).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -30,8 +32,11 @@ def encoder(path: str) -> Callable[[str], list[int]]:
 def token_counts(documents: DataFrame, doc_id: str, text: str, keep: list[str], tokenizer: str = TOKENIZER) -> DataFrame:
     """(doc_id, *keep, digest, tokens) of all rows with an id and a text; the texts stay where they are."""
 
+    documents.sparkSession.sparkContext.addFile(tokenizer)
+    name = os.path.basename(tokenizer)
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+        encode = encoder(SparkFiles.get(name))
         for batch in batches:
             texts = batch.column(1).to_pylist()
             digests = pa.array([hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in texts], pa.binary())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterable
 
@@ -17,15 +18,27 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
-def encode_known(lists: Iterable[list[str]], known: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Flat ids (-1: not in ``known``) and the offsets of the lists (one more than lists)."""
+_HASHES: dict[str, int] = {}
+
+
+def hash_word(word: str) -> int:
+    """A stable 63-bit hash; remembered for the common words of a worker."""
+    h = _HASHES.get(word)
+    if h is None:
+        h = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") >> 1
+        if len(_HASHES) < 300_000:
+            _HASHES[word] = h
+    return h
+
+
+def hashed(lists: Iterable[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """Flat hashes of words and the offsets of the lists (one more than lists)."""
     flat: list[int] = []
     ends = [0]
-    get = known.get
     for words in lists:
-        flat += [get(w, -1) for w in words]
+        flat += map(hash_word, words)
         ends.append(len(flat))
-    return np.array(flat, dtype=np.int64), np.array(ends, dtype=np.int64)
+    return np.array(flat, dtype=np.uint64), np.array(ends, dtype=np.int64)
 
 
 def scramble(x: np.ndarray) -> np.ndarray:
@@ -41,7 +54,7 @@ def rolling(ids: np.ndarray, length: int) -> np.ndarray:
     n = len(ids) - length + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    mixed = scramble(ids + 1)
+    mixed = scramble(ids.astype(np.uint64) + np.uint64(1))
     h = np.zeros(n, np.uint64)
     for i in range(length):
         h = h * _MIX + mixed[i : i + n]

@@ -191,7 +191,12 @@ def test_tiles_equal_the_definition(a, b, least):
     assert sum(n for *_, n in got) == sum(n for *_, n in want) and [n for *_, n in got][:1] == [n for *_, n in want][:1]
 
 
-def test_leaks_equal_brute_force(spark):
+def test_tiling_of_loops_is_no_square():
+    a, b = np.tile(np.arange(4), 20_000), np.tile(np.arange(4), 15_000)
+    assert sum(n for *_, n in L.tile(a, b, 8)) == 60_000
+
+
+def test_leaks_equal_brute_force(spark, monkeypatch):
     rng = random.Random(3)
     items = [sentence(rng, 40, 30) for _ in range(30)]
     docs = []
@@ -206,8 +211,9 @@ def test_leaks_equal_brute_force(spark):
     rows = list(enumerate(docs)) + [(500, None), (501, ""), (502, LONG), (0, docs[0]), (None, items[0])]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("item_id", F.lit("x")).withColumn("longest", F.lit(0))
     tests = spark.createDataFrame(list(enumerate(items)) + [(90, None), (91, "few words"), (0, items[0])], "item_id long, text string")
-    for block in (L.BLOCK_CHARS, 2000):
-        tiles = L.leaked_passages(df, tests, block_chars=block)
+    for bits in (L.FILTER_BITS, 1 << 10):  # a full table lets all pass; the join is exact
+        monkeypatch.setattr(L, "FILTER_BITS", bits)
+        tiles = L.leaked_passages(df, tests)
         got = {(r.doc_id, r.item_id) for r in tiles.where("longest >= 12").collect()}
         run = lambda t: {tuple(words_of(t)[i : i + 12]) for i in range(len(words_of(t)) - 11)}
         assert got == {(d, i) for d, t in enumerate(docs) for i, x in enumerate(items) if run(t) & run(x)}
@@ -219,12 +225,29 @@ def test_leaks_equal_brute_force(spark):
 
 
 @settings(max_examples=40, deadline=None)
-@given(st.lists(st.floats(0.01, 1), min_size=1, max_size=9), st.integers(1, 300))
-def test_pfair_stays_within_a_block(weights, slots):
-    order = pfair(weights, slots)
-    share = np.array(weights) / sum(weights)
-    given_ = np.cumsum(order[:, None] == np.arange(len(weights)), axis=0)
-    assert np.abs(given_ - share * np.arange(1, slots + 1)[:, None]).max() < 1 + 1e-6
+@given(st.lists(st.integers(1, 60), min_size=1, max_size=9))
+def test_pfair_stays_within_a_block(counts):
+    order = pfair(counts)
+    share = np.array(counts) / sum(counts)
+    given_ = np.cumsum(order[:, None] == np.arange(len(counts)), axis=0)
+    assert np.abs(given_ - share * np.arange(1, len(order) + 1)[:, None]).max() < 1 and np.bincount(order).tolist() == counts
+
+
+@pytest.mark.parametrize("period", [10, 37, 1000])
+def test_periods_lose_and_shift_nothing(spark, period):
+    rng = random.Random(5)
+    rows = [(s, sentence(rng, 8)) for s, n in (("a", 300), ("b", 130), ("c", 21)) for _ in range(n)]
+    df = spark.createDataFrame([(i, t, s) for i, (s, t) in enumerate(rows)], "doc_id long, text string, source string")
+    goals = spark.createDataFrame([("a", 0.7, 1), ("b", 0.27, 1), ("c", 0.03, 1)], "source string, weight double, max_repeats int")
+    mixed, report = mixture(df, goals, slots=200, period=period)
+    out, got = {r.source: r for r in report.collect()}, sorted((r.slot, r.start, r.source, r.tokens) for r in mixed.collect())
+    whole = mixture(df, goals, slots=200, period=10**6)[0]
+    assert sorted((s, b, t) for _, b, s, t in got) == sorted((r.source, r.start, r.tokens) for r in whole.collect())
+    block, most, run, used = sum(r[3] for r in got) / 200, max(r[3] for r in got), 0, Counter()
+    for _, _, source, tokens in got:
+        run += tokens
+        used[source] += tokens
+        assert all(abs(used[s] - out[s].share * run) < 2 * block + 2 * most for s in "abc")
 
 
 def test_quotas():
