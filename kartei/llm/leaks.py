@@ -16,7 +16,7 @@ texts is judged by each text and reported once per pair of ids with its best val
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +24,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from kartei.plans.lineage import materialise
 
-from .words import hashed, owners, rolling, window_mask, words_of
+from .words import hashed, owners, rolling, scramble, window_mask, words_of
 
-#: Bits of the table of seeds: 32 for each window of the items, at most so many (64 MB).
+#: Bits of the table of seeds: about 256 for each window of the items, at most so many (64 MB). A seed has two of them.
 FILTER_BITS = 1 << 29
 SCHEMA = "doc_id long, item_id long, item_words int, tiles int, matched int, longest int, coverage double"
 
@@ -38,18 +38,26 @@ def windows(texts: list[str], seed: int) -> tuple[np.ndarray, np.ndarray]:
     return owners(ends)[inside], rolling(flat, seed)[inside]
 
 
+def has(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the table has the bits at these places."""
+    return table[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1 > 0
+
+
 def seed_rows(texts: DataFrame, seed: int, bits: np.ndarray | None = None) -> DataFrame:
     """(id, text, seeds): texts with their distinct windows, those of which the bit table has; none without any."""
     shared = texts.sparkSession.sparkContext.broadcast(bits)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
+        if table is not None:
+            mask, shift = np.uint64(8 * len(table) - 1), np.uint64(65 - (8 * len(table)).bit_length())
         for batch in batches:
             for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
                 own, value = windows(part.column(1).to_pylist(), seed)
                 if table is not None:
-                    at = value & np.uint64(8 * len(table) - 1)
-                    held = table[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1 > 0
+                    held = has(table, value & mask)
+                    own, value = own[held], value[held]
+                    held = has(table, value >> shift)
                     own, value = own[held], value[held]
                 if not len(own):
                     continue
@@ -67,10 +75,12 @@ def seed_rows(texts: DataFrame, seed: int, bits: np.ndarray | None = None) -> Da
 def bit_table(items: DataFrame) -> np.ndarray:
     """Bits of the seeds of (seeds), or'ed together from a table of each task's bytes that hold any."""
     n = items.agg(F.sum(F.size("seeds"))).first()[0] or 0
-    size = 1 << max(10, min(FILTER_BITS, 32 * n).bit_length() - 1)
-    # A row for each byte that has a bit: no more rows than seeds and than bytes of the table.
-    place = F.col("h").bitwiseAND(F.lit(size - 1))
-    bytes_ = items.select(F.explode("seeds").alias("h")).select(F.shiftright(place, 3).alias("at"), F.expr("shiftleft(1, cast(h & 7 as int))").alias("bit"))
+    power = max(10, min(FILTER_BITS, 256 * n).bit_length() - 1)
+    size = 1 << power
+    # A row for each byte that has a bit: no more rows than bytes of the table.
+    seeds = items.select(F.explode("seeds").alias("h"))
+    places = seeds.select(F.explode(F.array(F.col("h").bitwiseAND(F.lit(size - 1)), F.shiftrightunsigned("h", 64 - power))).alias("place"))
+    bytes_ = places.select(F.shiftright("place", 3).alias("at"), F.expr("shiftleft(1, cast(place & 7 as int))").alias("bit"))
     rows = bytes_.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
     table = np.zeros(size >> 3, np.uint8)
     table[np.asarray(rows.column("at"))] = np.asarray(rows.column("bits")).astype(np.uint8)
@@ -86,13 +96,11 @@ def tile(a: np.ndarray, b: np.ndarray, least: int) -> list[tuple[int, int, int]]
     """
     free_a, free_b = a >= 0, b >= 0
     tiles: list[tuple[int, int, int]] = []
-    values: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    of_a, of_b = _any_length(a), _any_length(b)
 
     def free_windows(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        if n not in values:
-            values[n] = rolling(a, n), rolling(b, n)
         wa, wb = _free_windows(free_a, n), _free_windows(free_b, n)
-        return wa, wb, values[n][0][wa], values[n][1][wb]
+        return wa, wb, of_a(wa, n), of_b(wb, n)
 
     def agree(n: int) -> bool:
         _, _, ha, hb = free_windows(n)
@@ -114,7 +122,7 @@ def tile(a: np.ndarray, b: np.ndarray, least: int) -> list[tuple[int, int, int]]
             if not free_a[i : i + longest].all():
                 continue
             at = turn.get(lo, lo)
-            while at < hi and not free_b[starts_b[at] : starts_b[at] + longest].all():
+            while at < hi and not (free_b[starts_b[at] : starts_b[at] + longest].all() and np.array_equal(a[i : i + longest], b[starts_b[at] : starts_b[at] + longest])):
                 at += 1  # what is marked stays marked
             turn[lo] = at
             if at < hi:
@@ -125,6 +133,18 @@ def tile(a: np.ndarray, b: np.ndarray, least: int) -> list[tuple[int, int, int]]
     return tiles
 
 
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+def _any_length(ids: np.ndarray) -> Callable[[np.ndarray, int], np.ndarray]:
+    """A function from starts and a length to Karp-Rabin values modulo 2**64: differences of one running sum, shifted to the same power."""
+    powers = lambda base: np.concatenate([[np.uint64(1)], np.cumprod(np.full(max(0, len(ids) - 1), base, np.uint64), dtype=np.uint64)])[: len(ids)]
+    run = np.concatenate([[np.uint64(0)], np.cumsum(scramble(ids) * powers(_BASE), dtype=np.uint64)])
+    back = powers(_INVERSE)
+    return lambda starts, n: (run[starts + n] - run[starts]) * back[starts]
+
+
 def _free_windows(free: np.ndarray, length: int) -> np.ndarray:
     run = np.concatenate([[0], np.cumsum(free)])
     return np.nonzero(run[length:] - run[:-length] == length)[0] if len(free) >= length else np.zeros(0, np.int64)
