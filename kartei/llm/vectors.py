@@ -76,7 +76,7 @@ def rows_of(x: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(x), [None, offsets.buffers()[1], pa.py_buffer(x.tobytes())])
 
 
-def sum_by_label(rows: DataFrame) -> DataFrame:
+def sum_by_label(rows: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
     """From (label, n, total): one row per label with the sums; total holds float32 bytes.
 
     Batches are summed before the shuffle, so a label that holds a large share of all rows
@@ -92,7 +92,7 @@ def sum_by_label(rows: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(labels), pa.array(n), rows_of(total.astype(np.float32))], names=["label", "n", "total"])
 
     def read(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return np.asarray(batch.column("label")), np.asarray(batch.column("n")), matrix(batch.column("total"))
+        return np.asarray(batch.column("label")), np.asarray(batch.column("n")), matrix(batch.column("total"), dimensions)
 
     def partly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -160,3 +160,43 @@ def test_clashing_columns(spark):
     for name in ("label", "id", "copies", "cell", "n", "head", "similarity", "pivot"):
         df = df.withColumn(name, F.lit("clash"))
     assert cluster_vectors(df, "file_id", "vec")[0].count() == 6 and most_similar(df, "file_id", "vec", "grp").count() == 30
+
+
+def test_bridged_clusters_are_parted(spark):
+    """Two clusters 0.5 apart and a vector at more than 0.66 to both: neither may vanish."""
+    rng = np.random.default_rng(12)
+    basis, _ = np.linalg.qr(rng.standard_normal((128, 128)))
+    a, b = basis[0], 0.62 * basis[0] + np.sqrt(1 - 0.62**2) * basis[1]
+    spread = lambda c, k: [unit_(0.9 * c + np.sqrt(1 - 0.81) * basis[3 + k]) for k in range(k, k + 10)]
+    rows = spread(a, 0) + spread(b, 20) + [unit_(a + b)]
+    members, _ = cluster_vectors(table(spark, [(k, v, "m") for k, v in enumerate(rows)]), "file_id", "vec")
+    got = {r.id: r.cluster_id for r in members.collect()}
+    assert {got.get(k) for k in range(10)} == {0} and {got.get(k) for k in range(10, 20)} == {10}
+
+
+def unit_(v):
+    return v / np.linalg.norm(v)
+
+
+def test_hot_cells_are_dealt_and_joined(spark, monkeypatch):
+    from kartei.llm import clusters as C
+
+    monkeypatch.setattr(C, "CROWDED", 20)
+    rng = np.random.default_rng(2)
+    x = np.concatenate([cluster(rng, 600, 0.93), cluster(rng, 5, 0.9), rng.standard_normal((300, 128))])
+    members, density = C.cluster_vectors(table(spark, [(k, v, "m") for k, v in enumerate(x)]), "file_id", "vec")
+    got = {r.id: (r.cluster_id, r["size"]) for r in members.collect()}
+    assert got == {**{k: (0, 600) for k in range(600)}, **{k: (600, 5) for k in range(600, 605)}}
+    out = {r.cluster_id: r for r in C.describe(members, density).collect()}
+    assert set(out) == {0, 600} and len(out[0].typical) == 3 and set(out[600].typical) <= set(range(600, 605))
+
+
+def test_dense_part_of_a_cell():
+    from kartei.llm.clusters import hold_together
+
+    rng = np.random.default_rng(4)
+    good, lone = cluster(rng, 4, 0.9), np.eye(128)[:3]
+    x = np.concatenate([good, lone, good[:1], lone[:2]]).astype(np.float32)
+    cell = np.array([0] * 7 + [1] + [2] * 2)
+    row, where = hold_together(cell, np.ones(10, np.int64), x, 0.66)
+    assert sorted(zip(where.tolist(), row.tolist())) == [(0, 0), (0, 1), (0, 2), (0, 3)]
