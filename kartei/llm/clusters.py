@@ -5,16 +5,15 @@ tuple of q such features, so cells are cones of directions, about one for every
 with two vectors or more are looked into. A cell is dense if all its vectors have a mean similarity of ``similar`` or more to the others in
 it, which follows from their sum alone; what lies off the rest is left out of a cell until it is dense or empty. Dense cells of
 different grids are adjacent where they share a vector, and adjacent ones are joined by propagating minimum labels
-to convergence. The groups found so are points themselves in further rounds, with their mean vectors and fresh, coarser grids, until
-``rounds`` grids in a row join nothing more. So a group reaches through its mean what its members missed.
+to convergence. The groups found so are points themselves in further rounds, with their mean vectors and fresh, coarser grids. So a group reaches through its mean what its members missed.
 
 Last, an exact check from vector sums: where a group has members whose mean similarity to the others is too low, a few of them are
 left out; if they are many, the group was bridged and is parted between two of its members that are far apart. That goes on until every
 group holds.
 
 m and q follow from the number of rows, and the number of grids from the chance that similar vectors meet in a cell, which
-falls slowly as cells get finer. No pairs of vectors are formed. Cells of more than ``CROWDED`` vectors are dealt into parts by a hash;
-each part is a point of the next round, so no task holds a hot cell and its parts are joined by their means.
+falls slowly as cells get finer. No pairs of vectors are formed. Cells of more than ``CROWDED`` vectors are taken in parts;
+parts meet again in other grids and, by their means, in the next round, so no task holds a hot cell.
 
 Equal vectors are folded to one with a weight and count fully in all sums.
 
@@ -137,8 +136,8 @@ def dense_cells(points: DataFrame, seed: int, base: int, similar: float, dimensi
     cells = materialise(quantise(points, seed, grid_count(rows, base), q, m, dimensions))
     exploded = cells.select("id", F.explode("cells").alias("cell"))
     counts = exploded.groupBy("cell").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
-    inside = cells.select("id", "n", "norm", "small", F.explode("cells").alias("cell")).join(counts, "cell")
-    dealt = inside.withColumn("part", F.when(F.col("held") > CROWDED, F.pmod(F.xxhash64("id", "cell"), F.ceil(F.col("held") / CROWDED))).otherwise(0))
+    # A merge join brings a cell's rows together in order, so vectors are shuffled once; a hot cell is split by AQE or below.
+    inside = cells.select("id", "n", "norm", "small", F.explode("cells").alias("cell")).join(counts.hint("merge"), "cell").select("cell", "id", "n", "norm", "small").sortWithinPartitions("cell")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry: pa.Table | None = None
@@ -161,29 +160,36 @@ def dense_cells(points: DataFrame, seed: int, base: int, similar: float, dimensi
                 yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(root), pa.array(held)], names=["id", "root", "size"])
 
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            if carry is not None and carry.num_rows:
-                table = pa.concat_tables([carry, table])
-            new = np.nonzero(_changes(table))[0]
-            # The last cell may go on; it holds no more than CROWDED rows, give or take the hash.
-            last = int(new[-1]) + 1 if len(new) else 0
-            yield from part(table.slice(0, last))
-            carry = table.slice(last)
+            for piece in (batch.slice(i, CROWDED) for i in range(0, batch.num_rows, CROWDED)):
+                table = pa.Table.from_batches([piece])
+                if carry is not None and carry.num_rows:
+                    table = pa.concat_tables([carry, table])
+                new = np.nonzero(_changes(table))[0]
+                # The last cell may go on; one of more than CROWDED rows is taken in parts.
+                last = int(new[-1]) + 1 if len(new) else 0
+                if table.num_rows - last > CROWDED:
+                    last = table.num_rows
+                yield from part(table.slice(0, last))
+                carry = table.slice(last)
         if carry is not None:
             yield from part(carry)
 
-    placed = dealt.select("cell", "part", "id", "n", "norm", "small").repartition("cell", "part").sortWithinPartitions("cell", "part")
-    return placed.mapInArrow(work, "id long, root long, size long")
+    return inside.mapInArrow(work, "id long, root long, size long")
 
 
 def _changes(table: pa.Table) -> np.ndarray:
-    cell, part = (np.asarray(table.column(c).combine_chunks()) for c in ("cell", "part"))
-    return (cell[1:] != cell[:-1]) | (part[1:] != part[:-1])
+    cell = np.asarray(table.column("cell").combine_chunks())
+    return cell[1:] != cell[:-1]
 
 
 def join_cells(dense: DataFrame) -> DataFrame:
-    """(id, label): minimum labels of points connected through shared dense cells."""
-    return components(dense.where("id != root").select(F.col("id").alias("a"), F.col("root").alias("b")).distinct()).withColumnRenamed("vertex", "id")
+    """(id, label): minimum labels of points connected through shared dense cells.
+
+    A point ties the smallest root of its cells to the others; labels are propagated among roots only."""
+    least = materialise(dense.groupBy("id").agg(F.min("root").alias("low"), F.collect_set("root").alias("roots")))
+    ties = least.select(F.col("low").alias("a"), F.explode("roots").alias("b")).where("a != b").distinct()
+    joined = components(ties).select(F.col("vertex").alias("low"), "label")
+    return least.select("id", "low").join(joined, "low", "left").select("id", F.coalesce("label", "low").alias("label"))
 
 
 def sums(points: DataFrame, labels: DataFrame, dimensions: int) -> DataFrame:
@@ -271,16 +277,11 @@ def cluster_vectors(rows: DataFrame, row_id: str, vector: str, least_size: int =
     for k, base in enumerate(grids):
         dense = materialise(dense_cells(current, 1 + k, base, member, dimensions))
         first = dense if first is None else first
-        joined = join_cells(dense)
-        if labels is None:
-            labels = points.select("id").join(joined, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
-        else:
-            beyond = joined.select(F.col("id").alias("label"), F.col("label").alias("beyond"))
-            labels = labels.join(beyond, "label", "left").select("id", F.coalesce("beyond", "label").alias("label"))
-        labels = materialise(labels)
-        if k + 1 < len(grids):
-            current = materialise(means(sums(points, labels, dimensions), dimensions))
-    several = labels.join(labels.groupBy("label").count().where("count > 1").select("label"), "label", "left_semi").unionByName(labels.join(points.where("n > 1").select("id"), "id", "left_semi").select("label", "id")).select("id", "label").distinct()
+        joined = materialise(current.select("id").join(join_cells(dense), "id", "left").select("id", F.coalesce("label", "id").alias("label")))
+        beyond = joined.select(F.col("id").alias("label"), F.col("label").alias("beyond"))
+        labels = joined if labels is None else labels.join(beyond, "label").select("id", F.col("beyond").alias("label"))
+        current = materialise(means(sums(current, joined, dimensions), dimensions))
+    several = materialise(labels.join(current.where("n > 1").select(F.col("id").alias("label")), "label", "left_semi").select("id", "label"))
     fit = materialise(settled(points, several, member, dimensions))
     final = copies.select("id", "head").join(fit.select(F.col("id").alias("head"), "label", "mean_similarity"), "head")
     size = final.groupBy("label").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("cluster_id")).where(F.col("size") >= least_size)
