@@ -41,22 +41,37 @@ def materialise(df: DataFrame, *, partition_by: str | None = None) -> DataFrame:
     path = f"{shared_folder(spark)}/kartei-{uuid.uuid4().hex}"
     writer = df.write.mode("overwrite")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    _TABLES.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _TABLES[path] = spark
+    table = spark.read.schema(df.schema).parquet(path)
+    table.kartei_path = path
+    return table
 
 
-_TABLES: list[tuple[SparkSession, str]] = []
+_TABLES: dict[str, SparkSession] = {}
 
 
-def release(df_paths: int | None = None) -> None:
+def _delete(path: str) -> None:
+    spark = _TABLES.pop(path, None)
+    if spark is None:
+        return
+    try:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    except Exception:  # noqa: BLE001 - the session may be gone already; the others are tried all the same
+        pass
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables of ``materialise`` that nothing reads any more: what was made of them has been written itself."""
+    for table in tables:
+        if table is not None and hasattr(table, "kartei_path"):
+            _delete(table.kartei_path)
+
+
+def release() -> None:
     """Delete the tables written so far (call after the results that read them were consumed)."""
-    while _TABLES:
-        spark, path = _TABLES.pop()
-        try:
-            hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-        except Exception:  # noqa: BLE001 - the session may be gone already
-            return
+    for path in list(_TABLES):
+        _delete(path)
 
 
 atexit.register(release)
