@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from kartei.plans.lineage import materialise
+from kartei.plans.lineage import discard, materialise
 
 from .components import components
 from .vectors import fold_copies, matrix, rows_of, sum_by_label, usable
@@ -129,8 +129,8 @@ def hold_together(cell: np.ndarray, n: np.ndarray, x: np.ndarray, similar: float
     return (np.concatenate(done_rows), np.concatenate(done_cells)) if done_rows else (np.zeros(0, int), np.zeros(0, np.int64))
 
 
-def dense_cells(points: DataFrame, seed: int, base: int, similar: float, dimensions: int) -> DataFrame:
-    """(id, root, size): for every grid, the dense cell that a point belongs to; root is its smallest id. points: (id, n, vec)."""
+def dense_cells(points: DataFrame, seed: int, base: int, similar: float, dimensions: int) -> tuple[DataFrame, DataFrame]:
+    """((id, root, size), the table behind): for every grid, the dense cell that a point belongs to; root is its smallest id. points: (id, n, vec)."""
     rows = points.count()
     q, m = grid_shape(rows, dimensions)
     cells = materialise(quantise(points, seed, grid_count(rows, base), q, m, dimensions))
@@ -174,7 +174,7 @@ def dense_cells(points: DataFrame, seed: int, base: int, similar: float, dimensi
         if carry is not None:
             yield from part(carry)
 
-    return inside.mapInArrow(work, "id long, root long, size long")
+    return inside.mapInArrow(work, "id long, root long, size long"), cells
 
 
 def _changes(table: pa.Table) -> np.ndarray:
@@ -255,7 +255,7 @@ def settled(points: DataFrame, labels: DataFrame, member: float, dimensions: int
         fit = materialise(fits(points, labels, dimensions))
         short = (F.col("mean_similarity") < member).cast("int")
         state = materialise(fit.groupBy("label").agg(F.sum(short * F.col("n")).alias("short"), F.max("all").alias("size")).where("short > 0"))
-        good = fit.join(state, "label", "left_anti")
+        good = fit.join(state, "label", "left_anti")  # what is read later stays
         done = good if done is None else done.unionByName(good)
         if not state.limit(1).count():
             return done
@@ -275,18 +275,25 @@ def cluster_vectors(rows: DataFrame, row_id: str, vector: str, least_size: int =
     first = labels = None
     current = points
     for k, base in enumerate(grids):
-        dense = materialise(dense_cells(current, 1 + k, base, member, dimensions))
-        first = dense if first is None else first
+        dense, cells = dense_cells(current, 1 + k, base, member, dimensions)
+        dense = materialise(dense)
+        discard(cells)
         joined = materialise(current.select("id").join(join_cells(dense), "id", "left").select("id", F.coalesce("label", "id").alias("label")))
         beyond = joined.select(F.col("id").alias("label"), F.col("label").alias("beyond"))
-        labels = joined if labels is None else labels.join(beyond, "label").select("id", F.col("beyond").alias("label"))
+        before, held = current, labels
+        labels = joined if labels is None else materialise(labels.join(beyond, "label").select("id", F.col("beyond").alias("label")))
         current = materialise(means(sums(current, joined, dimensions), dimensions))
+        if k:
+            discard(before, held, joined, dense)
+        else:
+            first = materialise(dense.groupBy("id").agg(F.sum("size").alias("density")))
+            discard(dense)
     several = materialise(labels.join(current.where("n > 1").select(F.col("id").alias("label")), "label", "left_semi").select("id", "label"))
     fit = materialise(settled(points, several, member, dimensions))
     final = copies.select("id", "head").join(fit.select(F.col("id").alias("head"), "label", "mean_similarity"), "head")
     size = final.groupBy("label").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("cluster_id")).where(F.col("size") >= least_size)
     members = final.join(size, "label").select("id", "cluster_id", "size", "mean_similarity", "head")
-    return members, first.groupBy("id").agg(F.sum("size").alias("density"))
+    return members, first
 
 
 def describe(members: DataFrame, density: DataFrame, top: int = 3) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from kartei.plans.lineage import materialise
+from kartei.plans.lineage import discard, materialise
 
 DIMENSIONS = 128
 
@@ -55,7 +55,9 @@ def fold_copies(units: DataFrame) -> tuple[DataFrame, DataFrame]:
     heads = units.groupBy("grp", "digest").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("copies"))
     members = materialise(units.select("id", "grp", "digest").join(heads, ["grp", "digest"]).select("id", "grp", "head", "copies"))
     first = members.where("id = head").select("id", "grp", "copies")
-    return materialise(units.select("id", "grp", "vec").join(first, ["grp", "id"]).select("id", "grp", "copies", "vec")), members
+    distinct = materialise(units.select("id", "grp", "vec").join(first, ["grp", "id"]).select("id", "grp", "copies", "vec"))
+    discard(units)
+    return distinct, members
 
 
 def matrix(column: pa.Array, dimensions: int = DIMENSIONS, kind: type = np.float32) -> np.ndarray:
