@@ -171,7 +171,29 @@ LABELS = "CASE verdict WHEN 0 THEN 'tidy' WHEN 1 THEN 'lived-in' WHEN 2 THEN 'me
 
 
 def select(body: str, *parts: str) -> str:
-    return f"WITH {','.join(parts)} {body}"
+    return f"WITH RECURSIVE {','.join(parts)} {body}"
+
+
+MAIN = """
+file_counts AS (SELECT folder, count(*) AS n_files FROM latest WHERE folder IS NOT NULL AND stem IS NOT NULL AND name IS NOT NULL GROUP BY folder),
+chief_clusters AS (SELECT s.folder, s.cluster, s.size FROM sizes s JOIN file_counts USING (folder) WHERE size >= greatest(3, floor(0.10 * n_files)))"""
+RELATED = f"""
+alike AS (SELECT x.folder, x.cluster AS a, y.cluster AS b, list_inner_product(x.mean, y.mean) AS similarity FROM means x JOIN means y ON x.folder = y.folder AND x.cluster < y.cluster
+  JOIN chief_clusters p ON p.folder = x.folder AND p.cluster = x.cluster JOIN chief_clusters q ON q.folder = y.folder AND q.cluster = y.cluster),
+name_words AS (SELECT folder, file_id, unnest({name_words("stem")}) AS t FROM latest WHERE folder IS NOT NULL AND stem IS NOT NULL),
+name_sets AS (SELECT folder, cluster, list(DISTINCT t) AS t FROM name_words JOIN members USING (folder, file_id) JOIN chief_clusters USING (folder, cluster) GROUP BY folder, cluster),
+named_alike AS (SELECT x.folder, x.cluster AS a, y.cluster AS b FROM name_sets x JOIN name_sets y ON x.folder = y.folder AND x.cluster < y.cluster WHERE len(list_intersect(x.t, y.t)) / len(list_distinct(list_concat(x.t, y.t))) >= 0.35),
+threads AS (SELECT a.folder, a.a, a.b, a.similarity, n.a IS NOT NULL AS thread FROM alike a LEFT JOIN named_alike n ON n.folder = a.folder AND n.a = a.a AND n.b = a.b)"""
+GREEDY = f"""
+related AS (SELECT folder, a, b FROM alike WHERE similarity >= {LIMITS.unrelated!r} UNION SELECT folder, a, b FROM named_alike),
+near AS (SELECT folder, c, list(o) AS related FROM (SELECT folder, a AS c, b AS o FROM related UNION ALL SELECT folder, b, a FROM related) GROUP BY folder, c),
+ordered AS (SELECT folder, cluster, size, row_number() OVER (PARTITION BY folder ORDER BY size DESC, cluster) AS k FROM chief_clusters),
+walk AS (SELECT folder, k, [cluster] AS taken FROM ordered WHERE k = 1 UNION ALL
+  SELECT w.folder, o.k, CASE WHEN list_has_any(w.taken, coalesce(x.related, [])) THEN w.taken ELSE list_append(w.taken, o.cluster) END
+  FROM walk w JOIN ordered o ON o.folder = w.folder AND o.k = w.k + 1 LEFT JOIN near x ON x.folder = o.folder AND x.c = o.cluster)"""
+CHOSEN = """
+ends AS (SELECT folder, arg_max(taken, k) AS taken FROM walk GROUP BY folder),
+chosen AS (SELECT c.folder, c.cluster, s.size, c.turn FROM (SELECT folder, unnest(taken) AS cluster, (generate_subscripts(taken, 1) - 1)::INT AS turn FROM ends) c JOIN chief_clusters s USING (folder, cluster))"""
 
 
 def _rules() -> str:
@@ -352,4 +374,35 @@ SQL: dict[str, str] = {
     "median_of_medians": "SELECT source, round(quantile_cont(m, 0.5), 6) AS median FROM (SELECT source, lang, quantile_cont(n_chars, 0.5) AS m FROM documents WHERE n_chars IS NOT NULL AND source IS NOT NULL AND lang IS NOT NULL GROUP BY source, lang) GROUP BY source",
     "cache_eviction": "SELECT path, size, mtime, settings, max(accessed) AS accessed FROM extracted WHERE path IS NOT NULL GROUP BY path, size, mtime, settings ORDER BY accessed DESC, path, size, mtime, settings LIMIT 100000",
     "cache_vectors": "SELECT model, digest, (x).a AS accessed, (x).d AS dimensions FROM (SELECT model, digest, max({a: accessed, d: dimensions}) AS x FROM embedding_cache WHERE digest IS NOT NULL GROUP BY model, digest) ORDER BY accessed DESC, model, digest LIMIT 250000",
+    "cache_lookup": select(
+        "SELECT file_id, t.path IS NOT NULL AS cached FROM latest l LEFT JOIN texts_held t ON l.path = t.path AND l.size = t.size AND t.seconds = coalesce(epoch_us(l.mtime), 0) / 1e6 AND l.mtime IS NOT NULL WHERE l.path IS NOT NULL",
+        LATEST,
+        # A hexadecimal float: 1 and 13 digits behind the point, times a power of two.
+        "keys AS (SELECT DISTINCT path, size, mtime FROM extracted WHERE settings = 's7f3a1c' AND text IS NOT NULL AND mtime LIKE '0x1.%p+%')",
+        "texts_held AS (SELECT path, size, (1 + ('0x' || regexp_extract(mtime, '\\.([0-9a-f]{13})p', 1))::BIGINT / 4503599627370496.0::DOUBLE) * power(2, regexp_extract(mtime, 'p\\+([0-9]+)$', 1)::INT) AS seconds FROM keys)",
+    ),
+    "greedy_unrelated": select("SELECT folder, cluster, size, turn FROM chosen", LATEST, MEMBERS, MAIN, UNITS, MEANS, RELATED, GREEDY, CHOSEN),
+    "unrelated_topics": select(
+        f"""SELECT folder, topics::INT AS topics, round(coverage, 3) AS coverage, round(greatest(0, least(1, (1 - power(0.45, topics - 1)) * (0.5 + 0.5 * coverage) * (0.8 + 0.2 * greatest(0, least(1, separation))))), 6) AS severity
+          FROM (SELECT folder, topics, covered / greatest(1, n_files) AS coverage, 1 - greatest(0, near) / {max(1e-6, LIMITS.unrelated)!r} AS separation FROM several JOIN apart USING (folder) JOIN file_counts USING (folder)) WHERE separation >= 0.10""",
+        LATEST, MEMBERS, MAIN, UNITS, MEANS, RELATED, GREEDY, CHOSEN,
+        "several AS (SELECT folder, count(*) AS topics, sum(size) AS covered FROM chosen GROUP BY folder HAVING count(*) >= 2)",
+        "apart AS (SELECT a.folder, avg(a.similarity) AS near FROM alike a JOIN chosen x ON x.folder = a.folder AND x.cluster = a.a JOIN chosen y ON y.folder = a.folder AND y.cluster = a.b GROUP BY a.folder)",
+    ),
+    "stray_files": select(
+        f"SELECT folder, CASE WHEN loose >= 0.65 THEN 'no_common_thread' ELSE 'strays' END AS code, loners AS count, round(loose, 3) AS loose_fraction, round({ramp('loose', 0.20, 0.95)}, 6) AS severity FROM stray WHERE readable >= 6 AND loners >= 3 AND {ramp('loose', 0.20, 0.95)} > 0",
+        LATEST, KINDS, TEXTS, WRITTEN, UNITS, MEMBERS, MAIN,
+        "eligible AS (SELECT w.folder, m.cluster, x.size FROM written w JOIN units u ON w.folder = u.folder AND w.file_id = u.file_id JOIN members m ON m.folder = w.folder AND m.file_id = w.file_id LEFT JOIN chief_clusters x ON x.folder = m.folder AND x.cluster = m.cluster WHERE u.topical AND length(w.text) >= 120 AND w.stem IS NOT NULL)",
+        "stray AS (SELECT folder, count(*) AS readable, 1 - count(size) / count(*) AS loose, (count(*) - count(size))::BIGINT AS loners FROM eligible GROUP BY folder)",
+    ),
+    "unrelated_sweep": select(
+        "SELECT ratio, count(*) AS folders, sum(fires)::BIGINT AS firing, sum(fires * n)::BIGINT AS topics FROM judged GROUP BY ratio",
+        LATEST, MEMBERS, "chief_clusters AS (SELECT * FROM main)", UNITS, MEANS, RELATED,
+        "grid(ratio) AS (SELECT round(0.2::DOUBLE + 0.05::DOUBLE * k, 2) FROM (SELECT unnest(range(17)) AS k))",
+        "ordered AS (SELECT folder, cluster, size, row_number() OVER (PARTITION BY folder ORDER BY size DESC, cluster) AS k, count(*) OVER (PARTITION BY folder) AS n FROM chief_clusters)",
+        "near AS (SELECT ratio, folder, c, list(o) AS related FROM (SELECT folder, a AS c, b AS o, similarity, thread FROM threads UNION ALL SELECT folder, b, a, similarity, thread FROM threads), grid WHERE thread OR similarity >= ratio * 0.9 GROUP BY ratio, folder, c)",
+        "walk AS (SELECT ratio, folder, k, [cluster] AS taken FROM ordered, grid WHERE k = 1 AND n >= 2 UNION ALL SELECT w.ratio, w.folder, o.k, CASE WHEN list_has_any(w.taken, coalesce(x.related, [])) THEN w.taken ELSE list_append(w.taken, o.cluster) END FROM walk w JOIN ordered o ON o.folder = w.folder AND o.k = w.k + 1 LEFT JOIN near x ON x.ratio = w.ratio AND x.folder = o.folder AND x.c = o.cluster)",
+        "ends AS (SELECT ratio, folder, arg_max(taken, k) AS taken FROM walk GROUP BY ratio, folder)",
+        "judged AS (SELECT e.ratio, e.folder, len(taken) AS n, CASE WHEN len(taken) > 1 AND count(a.similarity) > 0 AND 1 - greatest(0, avg(a.similarity)) / greatest(1e-6, e.ratio * 0.9) >= 0.10 THEN 1 ELSE 0 END AS fires FROM ends e LEFT JOIN alike a ON a.folder = e.folder AND list_contains(taken, a.a) AND list_contains(taken, a.b) GROUP BY e.ratio, e.folder, taken)",
+    ),
 }

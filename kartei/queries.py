@@ -495,12 +495,15 @@ def greedy_unrelated(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def unrelated_topics(spark: SparkSession, sf: str) -> DataFrame:
-    return _findings(topics.unrelated_topics(table_frames(spark, sf)))
+    groups = F.size(F.from_json(F.get_json_object("data", "$.groups"), "array<struct<label string>>"))
+    found = _findings(topics.unrelated_topics(table_frames(spark, sf)))
+    return found.select("folder", groups.alias("topics"), F.get_json_object("data", "$.coverage").cast("double").alias("coverage"), "severity")
 
 
 @query
 def stray_files(spark: SparkSession, sf: str) -> DataFrame:
-    return _findings(topics.unattached_files(table_frames(spark, sf)))
+    number = lambda key, kind: F.get_json_object("data", f"$.{key}").cast(kind).alias(key)
+    return _findings(topics.unattached_files(table_frames(spark, sf))).select("folder", "code", number("count", "long"), number("loose_fraction", "double"), "severity")
 
 
 @query
