@@ -148,9 +148,40 @@ SEQUENCES = f"""
 words AS (SELECT DISTINCT doc_id, {WORDS.format("coalesce(text, '')")} AS w FROM documents),
 counted AS (SELECT doc_id, len(w)::INT AS n_words, greatest(0, len(w) - 4)::INT AS sequences, len(list_distinct(list_transform(range(1, greatest(1, len(w) - 3)), lambda k: array_to_string(w[k:k + 4], ' '))))::INT AS distinct_sequences FROM words)"""
 
+def usable_vectors(source: str, row_id: str, vector: str, group: str = "''") -> str:
+    """(id, grp, v): unit vectors in double precision, one for each id and group."""
+    bad = f"len(list_filter({vector}, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter({vector}, lambda x: x <> 0)) > 0"
+    return f"""units AS (SELECT id, grp, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS v FROM
+  (SELECT {row_id} AS id, coalesce({group}, '') AS grp, max({vector})::DOUBLE[] AS v FROM {source} WHERE {row_id} IS NOT NULL AND len({vector}) = 128 AND {bad} GROUP BY ALL))"""
+
+
+NEAREST = """
+near AS (SELECT a.grp, a.id, b.id AS other, list_inner_product(a.v, b.v) AS similarity FROM units a JOIN units b ON a.grp = b.grp AND a.id <> b.id WHERE {which}),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY grp, id ORDER BY round(similarity, 7) DESC, other) AS rank FROM near QUALIFY rank <= 5)"""
+CLUSTERS = """
+links AS (SELECT a.id AS a, b.id AS b FROM units a JOIN units b ON a.id <> b.id WHERE list_inner_product(a.v, b.v) >= 0.66),
+reached AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a),
+labels AS (SELECT a AS id, min(b) AS cluster_id FROM reached GROUP BY a),
+sized AS (SELECT *, count(*) OVER (PARTITION BY cluster_id) AS size FROM labels)"""
+CLASSES = """
+texts AS (SELECT DISTINCT file_id, w FROM words WHERE len(w) >= 20),
+reps AS (SELECT w, min(file_id) AS rep, count(DISTINCT file_id) AS copies FROM texts GROUP BY w),
+held AS (SELECT file_id, rep, copies FROM texts JOIN reps USING (w)),
+linked AS (SELECT a, b FROM shared JOIN counts x ON x.file_id = a JOIN counts y ON y.file_id = b WHERE 2 * c >= x.n + y.n - c AND a IN (SELECT rep FROM reps) AND b IN (SELECT rep FROM reps)),
+ties AS (SELECT a, b FROM linked UNION SELECT b, a FROM linked),
+degrees AS (SELECT a AS rep, count(*) AS links FROM ties GROUP BY a),
+reached AS (SELECT a, b FROM ties UNION SELECT r.a, t.b FROM reached r JOIN ties t ON r.b = t.a),
+labels AS (SELECT a AS rep, min(b) AS label FROM reached GROUP BY a)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """SQL for the queries that DuckDB can express. Problem 5 is approximate by nature."""
+    """SQL for the queries that DuckDB can express. Problem 5 by brute force: an index has to find all of them at the small size."""
     return {
+        "p1_found": f"WITH RECURSIVE {usable_vectors('vectors', 'file_id', 'vec')}, {CLUSTERS} SELECT id AS file_id, cluster_id FROM sized WHERE size >= 3",
+        "p2_classes": f"WITH RECURSIVE {SHINGLES}, {CLASSES} SELECT file_id, coalesce(label, rep) AS class_id, copies, coalesce(links, 0)::BIGINT AS links FROM held LEFT JOIN degrees USING (rep) LEFT JOIN labels USING (rep) WHERE copies > 1 OR links IS NOT NULL",
+        "p5_found": f"WITH {usable_vectors('embedding_cache', 'vec_id', 'vector', 'model')}, {NEAREST.format(which='true')} SELECT DISTINCT least(id, other) AS vec_id_a, greatest(id, other) AS vec_id_b FROM ranked WHERE similarity >= 0.6",
+        "p5_neighbours": f"WITH {usable_vectors('embedding_cache', 'vec_id', 'vector', 'model')}, {NEAREST.format(which='a.id % 50 = 0')} SELECT grp AS model, id AS vec_id, other AS neighbour_id, round(similarity, 4) AS similarity, rank::INT AS rank FROM ranked",
+        "p5_files": f"WITH {usable_vectors('vectors', 'file_id', 'vec')}, {NEAREST.format(which='a.id % 50 = 0')} SELECT id AS file_id, other AS neighbour_id, round(similarity, 4) AS similarity, rank::INT AS rank FROM ranked",
         "p2_found": f"WITH {SHINGLES} SELECT a AS file_id_a, b AS file_id_b FROM shared JOIN counts x ON x.file_id = a JOIN counts y ON y.file_id = b WHERE 2 * c >= x.n + y.n - c",
         "p3_found": f"WITH {PAIRS} SELECT file_id, term FROM scored WHERE n >= 3 AND 20 * n >= total AND df BETWEEN 3 AND 20",
         "p3_scores": f"WITH {PAIRS} SELECT file_id, term, n, total, df, round(score, 6) AS score FROM scored",
