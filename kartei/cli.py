@@ -64,6 +64,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--fail-over", default="messy", help="verdict from which the exit status is 1")
     p.add_argument("-c", "--crowding", action="store_true", help="report crowded folders")
     p.add_argument("-f", "--folder", action="store_true", help="report folders that look out of place")
+    p.add_argument("--cache", default=os.environ.get("KARTEI_CACHE"), help="folder shared by all executors that keeps texts and vectors for the next run")
     talk = p.add_mutually_exclusive_group()
     talk.add_argument("-q", "--quiet", action="store_true", help="no report, only the exit status")
     talk.add_argument("-v", "--verbose", action="store_true", help="progress on standard error")
@@ -142,10 +143,12 @@ def main(argv: list[str] | None = None, spark=None, embedder=None) -> int:
     from kartei.operators.score import visible
     from kartei.plans.audit import audit
     from kartei.plans.lineage import materialise
+    from kartei.sources.cache import StoredCache
     from kartei.sources.tree import read_texts, scan
 
     settings = Settings(max_depth=args.depth, include_hidden=args.hidden, report_crowding=args.crowding, report_placement=args.folder, threshold=args.threshold, min_files=1 if args.judge_all else Settings().min_files)
     spark, embedder = spark or session(), embedder or HashedEmbedder()
+    store = StoredCache(spark, args.cache) if args.cache else None
     colour = args.color == "always" or args.color == "auto" and sys.stdout.isatty() and not os.environ.get("NO_COLOR")
     status, worst, texts, documents, seen = bool(errors), 0, [], [], None
     for root in without_nested(folders, args.depth is not None):
@@ -153,7 +156,11 @@ def main(argv: list[str] | None = None, spark=None, embedder=None) -> int:
             print(f"kartei {__version__} · {embedder.name} · {root}", file=sys.stderr)
         try:
             files, tree = scan(spark, root, settings)
-            done = audit(materialise(read_texts(files, settings)), embedder, settings, tree)
+            read = materialise(read_texts(files, settings, store and store.texts()))
+            done = audit(read, embedder, settings, tree, store and store.vectors(embedder.name))
+            if store:
+                store.keep_texts(read, settings.reading_key())
+                store.keep_vectors(done.frames.dictionary, embedder.name)
         except OSError as x:
             print(f"kartei: {root}: {x}", file=sys.stderr)
             status = True

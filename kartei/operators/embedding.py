@@ -141,6 +141,16 @@ def name_phrases(files: DataFrame, tokens: str = "tokens", least_files: int = 5,
     return files.join(common, "folder", "left").withColumn("name_phrase", kept).drop("_common")
 
 
+def embedded_texts(files: DataFrame, embedder: Embedder, known: DataFrame) -> DataFrame:
+    """(text, vec) of all texts that file_vectors needs: those of ``known`` as they are, the others embedded now."""
+    from kartei.functions.kinds import phrase_of
+
+    texts = files.select(F.explode(F.array("text", "name_phrase", phrase_of(F.col("kind")))).alias("text"))
+    wanted = texts.where(~is_blank(F.col("text"))).select(F.make_valid_utf8("text").alias("text")).distinct()
+    fit = known.where(F.size("vec") == embedder.dimensions).select("text", "vec")
+    return embedder.encode(wanted.join(fit, "text", "left_anti")).select("text", F.col("vec").cast("array<double>").alias("vec")).unionByName(fit.join(wanted, "text", "left_semi"))
+
+
 def file_vectors(files: DataFrame, embedder: Embedder, known: DataFrame | None = None, thin: float = 0.45, rich: float = 0.75, min_text: int = 120) -> DataFrame:
     """(folder, pos, vec, topical) of files (folder, pos, text, name_phrase, kind, textual, size)."""
     from kartei.functions.kinds import phrase_of

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from kartei.functions.tokens import name_tokens
 from kartei.operators import clustering as C
 from kartei.operators.ancestry import ancestry
-from kartei.operators.embedding import Embedder, file_vectors, name_phrases
+from kartei.operators.embedding import Embedder, embedded_texts, file_vectors, name_phrases
 from kartei.operators.score import analyses
 from kartei.plans.lineage import materialise
 from kartei.plans.ranking import evenly_sampled
@@ -42,13 +42,14 @@ def frames(files: DataFrame, embedder: Embedder, settings: Settings = Settings()
     every = counted if folders is None else folders.select("folder").where("folder is not null").distinct().join(counted, "folder", "full").withColumns({"n_files": F.coalesce("n_files", F.lit(0)), "truncated": F.coalesce("truncated", F.lit(0))})
     every = materialise(every.select("folder", "n_files", "truncated"))
     named = name_phrases(kept)
-    vectors = materialise(file_vectors(named, embedder, known, settings.text_weight_thin, settings.text_weight_rich, settings.min_text_chars))
+    dictionary = known if known is None else materialise(embedded_texts(named, embedder, known))
+    vectors = materialise(file_vectors(named, embedder, dictionary, settings.text_weight_thin, settings.text_weight_rich, settings.min_text_chars))
     thresholds = Thresholds.derive(embedder.scale, settings)
     enough = every.where(F.col("n_files") >= settings.min_files).select("folder")
     members = materialise(C.clusters(vectors.join(enough, "folder", "left_semi"), thresholds.cluster))
     labels = materialise(C.cluster_labels(C.file_terms(kept), members))
     tree = materialise(ancestry(every))
-    return Frames(kept, vectors, members, labels, every, tree, settings, thresholds)
+    return Frames(kept, vectors, members, labels, every, tree, settings, thresholds, dictionary)
 
 
 def audit(files: DataFrame, embedder: Embedder, settings: Settings = Settings(), folders: DataFrame | None = None, known: DataFrame | None = None, check: bool = False) -> Audit:

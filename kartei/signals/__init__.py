@@ -22,6 +22,7 @@ class Frames:
     labels: folder, cluster, labels array<string>
     folders: folder, n_files, truncated
     tree: ancestor, descendant, distance
+    dictionary: text, vec of all texts that were embedded or known, where a dictionary was given
     """
 
     files: DataFrame
@@ -32,6 +33,7 @@ class Frames:
     tree: DataFrame
     settings: Settings
     thresholds: Thresholds
+    dictionary: DataFrame | None = None
 
 
 Signal = Callable[[Frames], DataFrame]

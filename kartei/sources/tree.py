@@ -14,8 +14,9 @@ from kartei.functions.kinds import with_kind
 from kartei.plans.lineage import materialise
 from kartei.plans.ranking import evenly_kept, ranked
 from kartei.settings import Settings
+from kartei.sources.cache import looked_up
 from kartei.sources.ignore import NOTABLE_HIDDEN, Rule, read_rules
-from kartei.sources.readers import with_text
+from kartei.sources.readers import with_digests, with_text
 
 RULE_FILE = ".auditignore"
 ENTRY = "folder string, path string, name string, size long, mtime double, is_folder boolean, depth int, rules string, error string"
@@ -105,17 +106,20 @@ def scan(spark: SparkSession, root: str, settings: Settings = Settings()) -> tup
 def read_texts(files: DataFrame, settings: Settings = Settings(), cached: DataFrame | None = None) -> DataFrame:
     """files with text and digest. Of a folder's images only an even sample is described.
 
-    cached: (path, text) that need no reading.
+    cached: rows of an earlier run (path, size, mtime, settings, text, accessed). A file is read again if its size or time or
+    the settings of reading have changed since.
     """
     images = files.where("kind = 'image'")
     counts = images.groupBy("folder").agg(F.count(F.lit(1)).alias("_n"))
     chosen = ranked(images.select("folder", "path", "name"), ["folder"], ["name"], "_at").join(counts, "folder").where(evenly_kept(F.col("_at"), F.col("_n"), settings.described_images)).select("path", F.lit(True).alias("_chosen"))
     marked = files.join(chosen, "path", "left").withColumn("described", (F.col("kind") != "image") | F.coalesce("_chosen", F.lit(False))).drop("_chosen")
     if cached is None:
-        return with_text(marked.repartition("path"), settings).drop("described")
-    kept = marked.join(cached.select("path", "text"), "path").withColumn("digest", F.lit(None).cast("string"))
-    fresh = with_text(marked.join(cached.select("path"), "path", "left_anti").repartition("path"), settings)
-    return kept.unionByName(fresh).drop("described")
+        read = with_text(marked.repartition("path"), settings)
+    else:
+        known = materialise(looked_up(marked, cached, settings.reading_key()))
+        fresh = with_text(known.where("text is null").drop("text").repartition("path"), settings)
+        read = known.where("text is not null").unionByName(fresh)
+    return with_digests(read.drop("described"))
 
 
 def rules_of(pairs: list[tuple[str, str]]) -> list[Rule]:

@@ -73,3 +73,21 @@ def test_bad_options(argv, capsys):
     with pytest.raises(SystemExit) as x:
         cli.parser().parse_args(argv)
     assert x.value.code == 2
+
+
+def test_second_run_embeds_nothing(spark, home, capsys, tmp_path):
+    """A warm run takes all texts and vectors from the cache and says the same."""
+    asked = []
+
+    class Counting(MarkerEmbedder):
+        def encode(self, texts):
+            asked.append(texts.count())
+            return super().encode(texts)
+
+    out = []
+    for _ in range(2):
+        cli.main(["--cache", str(tmp_path / "kept"), "--jsonl", "--show", "all", str(home)], spark, Counting(("alpha", "beta", "gamma")))
+        out.append(capsys.readouterr().out)
+        asked.append(None)
+    half = asked.index(None)
+    assert sum(asked[:half]) > 0 and sum(filter(None, asked[half:])) == 0 and out[0] == out[1]

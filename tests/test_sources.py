@@ -1,4 +1,5 @@
 import io
+import os
 import struct
 import tarfile
 import zipfile
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kartei.settings import Settings
 from kartei.sources import binary, readers
-from kartei.sources.cache import evicted_texts, hex_seconds, looked_up, missing, updated
+from kartei.sources.cache import StoredCache, evicted_texts, hex_seconds, looked_up, missing, updated
 from kartei.sources.tree import RULE_FILE, read_texts, scan
 
 
@@ -165,3 +166,33 @@ def test_cache(spark):
     assert [r.path for r in evicted_texts(cache, 1).collect()] == ["/b"]
     fresh = spark.createDataFrame([("/b", 1, (5.0).hex(), "t", "y", 9)], cache.schema)
     assert {r.text for r in updated(cache, fresh, ["path", "size", "mtime", "settings"]).collect()} == {"old", "new", "y"}
+
+
+def test_staged_digests(spark, tmp_path):
+    middle = bytearray(b"x" * 300_000)
+    other = bytearray(middle)
+    other[150_000] = 65
+    held = {"a": b"same size", "b": b"same sizE", "c": b"same size", "alone": b"a size of its own", "big1": middle, "big2": other, "big3": middle, "empty": b"", "empty2": b""}
+    for name, data in held.items():
+        (tmp_path / name).write_bytes(bytes(data))
+    files = spark.createDataFrame([(str(tmp_path), str(tmp_path / n), len(d)) for n, d in held.items()], "folder string, path string, size long").withColumn("digest", F.lit("old"))
+    got = {r.path.rsplit("/", 1)[-1]: r.digest for r in readers.with_digests(files).collect()}
+    assert got["a"] == got["c"] != got["b"] and got["big1"] == got["big3"] != got["big2"] and got["big2"] is not None
+    assert got["alone"] is got["empty"] is got["empty2"] is None
+
+
+def test_cached_texts_keep_digests(spark, tmp_path):
+    for name in ("one.txt", "two.txt"):
+        (tmp_path / name).write_text("the very same words")
+    files, _ = scan(spark, str(tmp_path))
+    cache = StoredCache(spark, str(tmp_path / ".kept"))
+    first = read_texts(files, cached=cache.texts())
+    cache.keep_texts(first, Settings().reading_key())
+    before = (tmp_path / "one.txt").stat()
+    (tmp_path / "one.txt").write_text("THE VERY SAME WORDS")
+    os.utime(tmp_path / "one.txt", ns=(before.st_atime_ns, before.st_mtime_ns))
+    (tmp_path / "two.txt").write_text("longer than it was before")
+    files, _ = scan(spark, str(tmp_path))
+    again = {r.name: r for r in read_texts(files, cached=cache.texts()).collect()}
+    assert again["one.txt"].text == "the very same words" and again["two.txt"].text == "longer than it was before"
+    assert {r.digest is None for r in first.collect()} == {False}
