@@ -5,6 +5,7 @@ Written from the operators' definitions and independent of their plans: no sampl
 
 from __future__ import annotations
 
+from kartei import planted
 from kartei.functions import kinds, text as T, tokens as K
 from kartei.queries import LIMITS, MARKERS, RULES
 from kartei.settings import FAMILIES, IGNORED_FOLDERS, OTHER_WEIGHT, WEIGHTS
@@ -174,6 +175,12 @@ def select(body: str, *parts: str) -> str:
     return f"WITH RECURSIVE {','.join(parts)} {body}"
 
 
+def values(columns: str, rows) -> str:
+    """Expected rows as they are."""
+    one = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else f"{v!r}::DOUBLE" if isinstance(v, float) else str(v) if isinstance(v, int) else lit(v)
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(one, r)) + ')' for r in rows)}) t({columns})"
+
+
 MAIN = """
 file_counts AS (SELECT folder, count(*) AS n_files FROM latest WHERE folder IS NOT NULL AND stem IS NOT NULL AND name IS NOT NULL GROUP BY folder),
 chief_clusters AS (SELECT s.folder, s.cluster, s.size FROM sizes s JOIN file_counts USING (folder) WHERE size >= greatest(3, floor(0.10 * n_files)))"""
@@ -405,4 +412,11 @@ SQL: dict[str, str] = {
         "ends AS (SELECT ratio, folder, arg_max(taken, k) AS taken FROM walk GROUP BY ratio, folder)",
         "judged AS (SELECT e.ratio, e.folder, len(taken) AS n, CASE WHEN len(taken) > 1 AND count(a.similarity) > 0 AND 1 - greatest(0, avg(a.similarity)) / greatest(1e-6, e.ratio * 0.9) >= 0.10 THEN 1 ELSE 0 END AS fires FROM ends e LEFT JOIN alike a ON a.folder = e.folder AND list_contains(taken, a.a) AND list_contains(taken, a.b) GROUP BY e.ratio, e.folder, taken)",
     ),
+    "read_formats": values("name, text", [(n, t) for n, _, t in planted.FORMATS]),
+    "report_lines": values("folder, line", planted.EXPECTED_LINES),
+    "report_json": values("path, files, score, verdict, found, worst, truncated, skip_reason", planted.EXPECTED_JSON),
+    "planted_duplicates": values("folder, exact, near", planted.EXPECTED_COPIES),
+    "planted_near_duplicates": values("folder, name_a, name_b", planted.EXPECTED_EDITS),
+    "planted_misfiled": values("folder, below, files", planted.EXPECTED_MISFILED),
+    "planted_placement": values("folder, related", planted.EXPECTED_PLACEMENT),
 }

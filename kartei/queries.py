@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from kartei import planted
 from kartei.functions import kinds, scoring, text as T, tokens as K, vectors as V
 from kartei.operators import clustering as C
 from kartei.operators.ancestry import ancestry, first_report, outermost, rollup
@@ -577,3 +578,68 @@ def finding_census(spark: SparkSession, sf: str) -> DataFrame:
     from kartei.calibrate import census
 
     return census(_simple_findings(spark, sf)[0]).withColumn("mean_severity", F.round("mean_severity", 6))
+
+
+# --- small inputs with known outcomes ---
+
+
+@query
+def read_formats(spark: SparkSession, sf: str) -> DataFrame:
+    """The text of a file of every format, from its bytes."""
+    from kartei.sources.readers import with_text
+
+    files = kinds.with_kind(planted.formats(spark)).withColumn("described", F.lit(True))
+    return with_text(files, content="content").select("name", "text")
+
+
+@query
+def report_lines(spark: SparkSession, sf: str) -> DataFrame:
+    from kartei.report import lines
+
+    return lines(planted.analyses(spark)).select("folder", "line")
+
+
+@query
+def report_json(spark: SparkSession, sf: str) -> DataFrame:
+    """JSON objects of folders, read again."""
+    from kartei.report import as_json
+
+    item = F.from_json("value", "path string, files int, score double, verdict string, findings array<struct<code string, severity double>>, truncated int, skip_reason string")
+    rows = as_json(planted.analyses(spark)).select(item.alias("x"))
+    return rows.select("x.path", "x.files", "x.score", "x.verdict", F.when(F.col("x.findings").isNotNull(), F.size("x.findings")).alias("found"), F.get("x.findings", F.lit(0))["severity"].alias("worst"), "x.truncated", "x.skip_reason")
+
+
+def _planted_frames(spark: SparkSession) -> Frames:
+    from kartei.plans.audit import frames
+
+    return frames(planted.folders_that_fire(spark), MarkerEmbedder(planted.MARKS), folders=spark.createDataFrame([("/p",), ("/r",), ("/r/greek",), ("/r/latin",)], "folder string"))
+
+
+@query
+def planted_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    found = leftovers.duplicates(_planted_frames(spark))
+    number = lambda key: F.coalesce(F.aggregate(F.from_json(F.get_json_object("data", f"$.{key}"), "array<array<string>>"), F.lit(0), lambda s, g: s + F.size(g) - 1), F.lit(0))
+    return found.select("folder", number("exact_groups").alias("exact"), number("near_pairs").alias("near"))
+
+
+@query
+def planted_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    f = _planted_frames(spark)
+    names = f.files.select("folder", "pos", "name")
+    pairs = leftovers.near_pairs(f)
+    return pairs.join(names.select("folder", F.col("pos").alias("a"), F.col("name").alias("name_a")), ["folder", "a"]).join(names.select("folder", F.col("pos").alias("b"), F.col("name").alias("name_b")), ["folder", "b"]).select("folder", "name_a", "name_b")
+
+
+@query
+def planted_misfiled(spark: SparkSession, sf: str) -> DataFrame:
+    found = topics.misfiled_neighbours(_planted_frames(spark))
+    by_folder = F.explode(F.from_json(F.get_json_object("data", "$.by_subdir"), "map<string, array<string>>"))
+    return found.select("folder", by_folder.alias("below", "names")).select("folder", "below", F.size("names").alias("files"))
+
+
+@query
+def planted_placement(spark: SparkSession, sf: str) -> DataFrame:
+    from kartei.operators.placement import misplaced_folders
+
+    found = misplaced_folders(_planted_frames(spark), MarkerEmbedder(planted.MARKS))
+    return found.select("folder", F.get_json_object("data", "$.related_folder").startswith("/r/latin").alias("related"))
