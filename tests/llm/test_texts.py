@@ -50,12 +50,12 @@ def test_near_duplicates_equal_brute_force(spark):
     texts = base + [edited(rng, rng.choice(base), s) for s in (0.02, 0.05, 0.1, 0.15) for _ in range(40)] + [sentence(rng, 40) + footer for _ in range(150)] + [base[0]] * 3 + [base[0].upper() + "!"]
     rows = [(i, t) for i, t in enumerate(texts)] + [(900, None), (901, ""), (902, "too short"), (0, texts[0]), (None, texts[0]), (903, LONG), (904, LONG)]
     df = spark.createDataFrame(rows, "file_id long, text string").withColumn("id", F.lit(1)).withColumn("rep", F.lit("x"))
-    links, members = N.similar_texts(df, "file_id", "text", size=3, least=0.5, least_words=20)
-    got = {(r.id_a, r.id_b) for r in N.similar_pairs(links, members).collect()}
+    found = N.similar_texts(df, "file_id", "text", size=3, least=0.5, least_words=20)
+    got = {(r.id_a, r.id_b) for r in N.similar_pairs(*found).collect()}
     sets = [shingles(t) for t in texts]
     want = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.5} | {(903, 904)}
     assert got == want
-    classes = {r.id: r for r in N.duplicate_classes(links, members).collect()}
+    classes = {r.id: r for r in N.duplicate_classes(*found).collect()}
     assert set(classes) == {i for p in want for i in p} and classes[904].class_id == 903 and classes[0].copies == 5
 
 
@@ -78,6 +78,30 @@ def test_crowded_regions_lose_nothing(spark, monkeypatch):
     assert N.similar_pairs(*N.similar_texts(df, "file_id", "text", 3, 0.5)).count() == 30 * 29 // 2
 
 
+def test_families_lose_nothing(spark, monkeypatch):
+    """Two templates with numbers, texts near one of them, and others, with regions that are dealt into blocks."""
+    for name, value in (("REGION", 16), ("HEAVY", 20), ("FAMILY", 18), ("SHOWN", 10)):
+        monkeypatch.setattr(N, name, value)
+    rng = random.Random(8)
+    one, two = sentence(rng, 30).rstrip("."), sentence(rng, 45).rstrip(".")
+    texts = [f"{one} number {k} ends" for k in range(80)] + [f"{two} {k} and so on" for k in range(50)]
+    texts += [edited(rng, rng.choice(texts[:130]), 0.1) for _ in range(30)] + [sentence(rng, 40) for _ in range(20)] + texts[:2]
+    df = spark.createDataFrame(list(enumerate(texts)), "file_id long, text string")
+    found = N.similar_texts(df, "file_id", "text", 3, 0.5)
+    sets = [shingles(t) for t in texts]
+    want = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.5}
+    got = {(r.id_a, r.id_b) for r in N.similar_pairs(*found).collect()}
+    assert found[2].count() > 100 and got <= want and len(got) >= 0.995 * len(want)  # crowded regions go deeper
+    classes = {r.id: r for r in N.duplicate_classes(*found).collect()}
+    assert set(classes) == {i for p in got for i in p} and {classes[k].class_id for k in range(80)} == {0} and classes[40].links >= 79 - 2
+
+
+def test_a_large_family_is_no_square(spark):
+    df = spark.range(20_000).select(F.col("id").alias("file_id"), F.concat(F.lit(" ".join(f"word{k}" for k in range(30))), F.lit(" number "), F.col("id"), F.lit(" of many that are alike")).alias("text"))
+    rows = N.duplicate_classes(*N.similar_texts(df, "file_id", "text", 3, 0.5)).groupBy("class_id").agg(F.count(F.lit(1)).alias("n"), F.min("links").alias("least"))
+    assert [(r.class_id, r.n, r.least) for r in rows.collect()] == [(0, 20_000, 19_999)]
+
+
 def test_no_texts(spark):
     df = spark.createDataFrame([], "file_id long, text string")
     assert N.similar_pairs(*N.similar_texts(df, "file_id", "text")).count() == 0
