@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -44,7 +46,55 @@ def is_usable(v: Column, dimensions: int) -> Column:
     return F.coalesce((F.size(v) == dimensions) & ~F.exists(v, bad) & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def mean_by(rows, keys: list[str], vector: str, out: str = "profile", pre: str | None = None):
-    """Mean vector of each group: positions are averaged apart and put in order again."""
-    parts = rows.select(*keys, F.posexplode(vector).alias("_pos", "_x")).groupBy(*keys, "_pos").agg(F.avg(F.col("_x").cast("double")).alias("_m"))
-    return parts.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_m"))), lambda s: s["_m"]).alias(out))
+def _summed(keys: list[pa.Array], n: np.ndarray, x: np.ndarray) -> tuple[list[pa.Array], np.ndarray, np.ndarray]:
+    """Sums of rows with equal keys, in the order of their first rows."""
+    code = np.zeros(len(n), np.int64)
+    for key in keys:
+        part = key.dictionary_encode(null_encoding="encode")
+        code = np.unique(code * (len(part.dictionary) + 1) + np.asarray(part.indices), return_inverse=True)[1]
+    _, first, code = np.unique(code, return_index=True, return_inverse=True)
+    rank = np.argsort(np.argsort(first))
+    code, first = rank[code], np.sort(first)
+    order = np.argsort(code, kind="stable")
+    starts = np.searchsorted(code[order], np.arange(len(first)))
+    return [key.take(pa.array(first)) for key in keys], np.add.reduceat(n[order], starts), np.add.reduceat(x[order], starts, axis=0)
+
+
+def mean_by(rows: DataFrame, keys: list[str], vector: str, out: str = "profile") -> DataFrame:
+    """Mean vector of each group; null vectors don't count, all others must have one length.
+
+    Batches are summed before the shuffle and rows of a group come to its task in order, so no group is gathered."""
+    kinds = dict(rows.dtypes)
+    shape = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "n long, total array<double>"])
+
+    def pack(found: tuple) -> pa.RecordBatch:
+        values, n, x = found
+        lists = pa.ListArray.from_arrays(pa.array((np.arange(len(n) + 1) * x.shape[1]).astype(np.int32)), pa.array(x.ravel()))
+        return pa.RecordBatch.from_arrays([*values, pa.array(n), lists], names=[*keys, "n", "total"])
+
+    def matrix(lists: pa.Array) -> np.ndarray:
+        flat = np.asarray(lists.flatten().cast(pa.float64()))
+        return flat.reshape(len(lists), -1)
+
+    def partly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                values = [batch.column(i) for i in range(len(keys))]
+                yield pack(_summed(values, np.ones(batch.num_rows, np.int64), matrix(batch.column(len(keys)))))
+
+    def wholly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry: pa.RecordBatch | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch] if carry is None else [carry, batch]).combine_chunks()
+            columns = [table.column(i).chunk(0) for i in range(len(keys) + 2)]
+            done = pack(_summed(columns[: len(keys)], np.asarray(columns[-2]), matrix(columns[-1])))
+            yield done.slice(0, done.num_rows - 1)
+            carry = done.slice(done.num_rows - 1)
+        if carry is not None:
+            yield carry
+
+    plain = rows.where(F.col(vector).isNotNull()).select(*keys, F.col(vector).cast("array<double>").alias("_x"))
+    sums = plain.mapInArrow(partly, shape).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(wholly, shape)
+    return sums.select(*keys, let(F.col("n"), lambda n: F.transform("total", lambda x: x / n)).alias(out))

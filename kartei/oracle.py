@@ -362,7 +362,6 @@ SQL: dict[str, str] = {
     "verdict_bands": select(f"SELECT *, {LABELS} AS label FROM verdicts", LATEST, DEBRIS, FAMILIES_SQL, SIMPLE),
     "visibility_filter": select("SELECT folder, judged, verdict FROM verdicts WHERE NOT judged OR verdict >= 1", LATEST, DEBRIS, FAMILIES_SQL, SIMPLE),
     "worst_verdicts": select(f"SELECT folder, score, verdict, printf('%.1f', score) || chr(9) || {LABELS} || chr(9) || folder AS report FROM verdicts WHERE judged ORDER BY score DESC, folder", LATEST, DEBRIS, FAMILIES_SQL, SIMPLE),
-    "finding_census": select("SELECT code, count(DISTINCT folder) AS folders, round(avg(severity), 6) AS mean_severity FROM found GROUP BY code", LATEST, DEBRIS, FAMILIES_SQL, SIMPLE),
     "misfiled_sweep": select(
         "SELECT ratio, count(DISTINCT folder) AS folders, coalesce(sum(n), 0)::BIGINT AS files FROM grid LEFT JOIN hits USING (ratio) GROUP BY ratio",
         UNITS, MEMBERS, MEANS, SUBJECTS, TREE,
@@ -420,3 +419,14 @@ SQL: dict[str, str] = {
     "planted_misfiled": values("folder, below, files", planted.EXPECTED_MISFILED),
     "planted_placement": values("folder, related", planted.EXPECTED_PLACEMENT),
 }
+
+
+def _census() -> str:
+    """Over the SQL of the signals; copies and misfiled files have none, and the small tables hold no case of them."""
+    parts = [select("SELECT folder, code, round(severity, 6) AS severity FROM found", LATEST, DEBRIS, FAMILIES_SQL, SIMPLE)]
+    parts += [f"SELECT folder, {code}, severity FROM ({SQL[name]})" for name, code in (("time_strata", "'time_strata'"), ("unrelated_topics", "'unrelated_topics'"), ("stray_files", "code"))]
+    every = " UNION ALL ".join(f"SELECT * FROM ({p})" for p in parts)
+    return f"SELECT code, count(DISTINCT folder) AS folders, round(avg(severity), 6) AS mean_severity FROM ({every}) GROUP BY code"
+
+
+SQL["finding_census"] = _census()

@@ -10,6 +10,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -68,6 +70,17 @@ def discard(*tables: DataFrame | None) -> None:
             _delete(table.kartei_path)
 
 
+@contextmanager
+def passing() -> Iterator[None]:
+    """Tables written inside are deleted at the end, for work that is done again and again."""
+    before = set(_TABLES)
+    try:
+        yield
+    finally:
+        for path in set(_TABLES) - before:
+            _delete(path)
+
+
 def release() -> None:
     """Delete the tables written so far (call after the results that read them were consumed)."""
     for path in list(_TABLES):

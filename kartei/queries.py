@@ -386,15 +386,18 @@ def era_dominant(spark: SparkSession, sf: str) -> DataFrame:
     return strata.dominant(rows.join(table_members(spark, sf), ["folder", "pos"]), ["folder"], "mtime", "pos")
 
 
-def table_frames(spark: SparkSession, sf: str, settings: Settings = Settings()) -> Frames:
-    """The tables as frames: their own vectors and clusters, files without vectors included."""
+def table_frames(spark: SparkSession, sf: str, settings: Settings = Settings(), stored: bool = True) -> Frames:
+    """The tables as frames: their own vectors and clusters, files without vectors included.
+
+    Signals that read a frame once need none of them ``stored``."""
+    keep = materialise if stored else lambda df: df
     files = _dated(spark, sf).where("stem is not null").join(excerpts(table(spark, sf, "extracted")), "file_id", "left")
-    files = materialise(files.withColumn("digest", F.when(F.col("text") != "", F.sha2("text", 256))).withColumn("text", F.coalesce("text", F.lit(""))))
+    files = keep(files.withColumn("digest", F.when(F.col("text") != "", F.sha2("text", 256))).withColumn("text", F.coalesce("text", F.lit(""))))
     counts = files.groupBy("folder").agg(F.count(F.lit(1)).cast("int").alias("n_files"), F.lit(0).alias("truncated"))
     members = table_members(spark, sf).withColumn("closest", F.lit(0.0))
     labels = table(spark, sf, "cluster_labels").where("cluster >= 0").groupBy("folder", "cluster").agg(F.max("labels").alias("labels"))
-    vectors = materialise(unit_vectors(spark, sf))
-    return Frames(files, vectors, materialise(members), labels, counts, ancestry(table(spark, sf, "folders")), settings, Thresholds.derive(SCALE, settings))
+    vectors = keep(unit_vectors(spark, sf))
+    return Frames(files, vectors, keep(members), labels, counts, ancestry(table(spark, sf, "folders")), settings, Thresholds.derive(SCALE, settings))
 
 
 @query
@@ -417,7 +420,7 @@ def severity_ramp(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _simple_findings(spark: SparkSession, sf: str) -> tuple[DataFrame, Frames]:
-    f = table_frames(spark, sf, Settings(report_crowding=True))
+    f = table_frames(spark, sf, Settings(report_crowding=True), stored=False)
     parts = (leftovers.debris(f), leftovers.version_pileups(f), shape.overcrowded(f))
     return parts[0].unionByName(parts[1]).unionByName(parts[2]), f
 
@@ -575,9 +578,12 @@ def misfiled_sweep(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def finding_census(spark: SparkSession, sf: str) -> DataFrame:
+    """How often each finding of all signals comes out over the tables."""
     from kartei.calibrate import census
+    from kartei.signals import run_all
 
-    return census(_simple_findings(spark, sf)[0]).withColumn("mean_severity", F.round("mean_severity", 6))
+    found, _ = run_all(table_frames(spark, sf, Settings(report_crowding=True)))
+    return census(_findings(materialise(found))).withColumn("mean_severity", F.round("mean_severity", 6))
 
 
 # --- small inputs with known outcomes ---

@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from kartei.operators.embedding import Embedder
 from kartei.plans.audit import audit
+from kartei.plans.lineage import passing
 from kartei.settings import Settings
 
 
@@ -24,7 +25,7 @@ def era_windows(files: DataFrame, gap: str = "365 days", delay: str = "1 day", t
 def follow(stream: DataFrame, store: str, embedder: Embedder, sink: Callable[[DataFrame, int], None], settings: Settings = Settings(), checkpoint: str | None = None, **trigger) -> StreamingQuery:
     """Adds each micro-batch of files to ``store`` (Parquet by batch) and audits again the folders it touched.
 
-    A batch that is run again after a failure overwrites its own part of the store, so every file counts once.
+    The sink has to consume what it is given; the tables behind it go with the batch. A batch that is run again after a failure overwrites its own part of the store, so every file counts once.
     """
 
     def step(batch: DataFrame, number: int) -> None:
@@ -35,7 +36,8 @@ def follow(stream: DataFrame, store: str, embedder: Embedder, sink: Callable[[Da
         # Of several versions of a file the latest counts.
         last = known.groupBy("path").agg(F.max(F.struct("mtime", *[c for c in known.columns if c not in ("path", "mtime")])).alias("x"))
         files = last.select("path", "x.*").join(touched, "folder", "left_semi")
-        sink(audit(files.select(*known.columns), embedder, settings).analyses, number)
+        with passing():
+            sink(audit(files.select(*known.columns), embedder, settings).analyses, number)
 
     writer = stream.writeStream.foreachBatch(step)
     if checkpoint:
