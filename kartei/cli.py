@@ -111,7 +111,15 @@ def without_nested(folders: list[str], limited: bool) -> list[str]:
     """Folders that lie in no other; all of them under a depth limit."""
     if limited:
         return folders
-    return [f for f in folders if not any(f != o and f.startswith(o.rstrip("/") + "/") for o in folders)]
+    inside: set[str] = set()
+    last = None
+    # With / before all other characters, what lies in a folder follows it at once.
+    for folder in sorted(folders, key=lambda f: f.rstrip("/").split("/")):
+        if last is not None and (folder.rstrip("/") + "/").startswith(last.rstrip("/") + "/"):
+            inside.add(folder)
+        else:
+            last = folder
+    return [f for f in folders if f not in inside]
 
 
 def session():
@@ -157,7 +165,8 @@ def main(argv: list[str] | None = None, spark=None, embedder=None) -> int:
         try:
             files, tree = scan(spark, root, settings)
             read = materialise(read_texts(files, settings, store and store.texts()))
-            done = audit(read, embedder, settings, tree, store and store.vectors(embedder.name))
+            tell = (lambda step, at, of: print(f"kartei: {at}/{of} {step}", file=sys.stderr)) if args.verbose else None
+            done = audit(read, embedder, settings, tree, store and store.vectors(embedder.name), progress=tell)
             if store:
                 store.keep_texts(read, settings.reading_key())
                 store.keep_vectors(done.frames.dictionary, embedder.name)

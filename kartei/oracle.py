@@ -336,6 +336,14 @@ SQL: dict[str, str] = {
         "vs AS (SELECT label, row_number() OVER () AS k, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS v FROM (SELECT label, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL))",
         "counts AS (SELECT label, count(*) AS n FROM vs GROUP BY label)",
     ),
+    "label_pairs": select(
+        "SELECT count(*) AS pairs, round(quantile_cont(s, 0.5), 5) AS median, round(quantile_cont(s, 0.95), 5) AS p95, round(max(s), 5) AS highest, arg_max(a, s) AS closest_a, arg_max(b, s) AS closest_b FROM pairs",
+        "vs AS (SELECT label, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS v FROM (SELECT label, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL))",
+        "parts AS (SELECT label, i, avg(x) AS x FROM (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM vs) GROUP BY label, i)",
+        "raw AS (SELECT label, list(x ORDER BY i) AS m FROM parts GROUP BY label)",
+        "means AS (SELECT label, list_transform(m, lambda x: x / sqrt(list_inner_product(m, m))) AS m FROM raw)",
+        "pairs AS (SELECT x.label AS a, y.label AS b, list_inner_product(x.m, y.m) AS s FROM means x JOIN means y ON x.label < y.label)",
+    ),
     "era_gaps": select("SELECT folder, era::BIGINT AS era, count(*) AS files, round(min(t), 3) AS begin, round(max(t), 3) AS end FROM eras GROUP BY folder, era", LATEST, DATED),
     "event_eras": select(
         "SELECT user_id, era::BIGINT AS era, count(*) AS events, min(event_id) AS first, max(event_id) AS last FROM eras GROUP BY user_id, era HAVING count(*) >= 3",

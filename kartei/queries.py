@@ -357,6 +357,19 @@ def label_separation(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("label", "n", F.round((F.col("own") - F.col("n")) / (F.col("n") * (F.col("n") - 1)), 5).alias("inside"), F.round(F.col("cross") / (F.col("n") * (F.col("all") - F.col("n"))), 5).alias("outside"))
 
 
+@query
+def label_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """How far apart labels are: similarities of all pairs of their unit mean vectors, and the closest pair."""
+    rows = table(spark, sf, "embeddings").where("embedding is not null and label is not null").select("label", V.normalised(F.col("embedding")).alias("v"))
+    means = V.mean_by(rows, ["label"], "v", "m").select("label", V.normalised(F.col("m")).alias("m"))
+    # Labels are the topics of a calibration set, some tens of means.
+    pairs = means.select(F.col("label").alias("a"), F.col("m").alias("x")).join(means.select(F.col("label").alias("b"), F.col("m").alias("y")), F.col("a") < F.col("b")).select("a", "b", V.dot(F.col("x"), F.col("y")).alias("s"))
+    at = lambda p: F.percentile("s", F.lit(p))
+    best = F.max(F.struct("s", (-F.col("a")).alias("a"), (-F.col("b")).alias("b")))
+    out = pairs.agg(F.count(F.lit(1)).alias("pairs"), at(0.5).alias("median"), at(0.95).alias("p95"), best.alias("best"))
+    return out.select("pairs", F.round("median", 5).alias("median"), F.round("p95", 5).alias("p95"), F.round("best.s", 5).alias("highest"), (-F.col("best.a")).alias("closest_a"), (-F.col("best.b")).alias("closest_b"))
+
+
 # --- time ---
 
 

@@ -196,3 +196,11 @@ def test_cached_texts_keep_digests(spark, tmp_path):
     again = {r.name: r for r in read_texts(files, cached=cache.texts()).collect()}
     assert again["one.txt"].text == "the very same words" and again["two.txt"].text == "longer than it was before"
     assert {r.digest is None for r in first.collect()} == {False}
+
+
+def test_budget_of_bytes():
+    source = readers.Budgeted(io.BytesIO(bytes(range(100))), 30)
+    source.seek(50)
+    assert source.read(20) == bytes(range(50, 70)) and source.seek(0) == 0 and source.read(10) == bytes(range(10))
+    with pytest.raises(OSError):
+        source.read(1)
