@@ -135,6 +135,25 @@ def test_long_lists_are_not_cut(spark, monkeypatch):
     assert np.mean([len(got[i] & set(w)) / 5 for i, w in want.items()]) >= 0.75  # one dense cloud is the hardest case; what counts is that no list is dropped
 
 
+@pytest.mark.parametrize("whole", [100, 65_536])
+def test_many_pivots_miss_no_pair(spark, monkeypatch, whole):
+    """The more pivots, the fewer do two similar vectors share: half of all vectors are pivots here."""
+    from kartei.llm import neighbours as N
+
+    monkeypatch.setattr(N, "LIST", 2)
+    monkeypatch.setattr(N, "WHOLE", whole, raising=False)  # with and without the index
+    rng = np.random.default_rng(3)
+    x = np.concatenate([cluster(rng, 12, 0.72) for _ in range(60)] + [cluster(rng, 150, 0.9)] + [cluster(rng, 1, 0.5) for _ in range(1500)])
+    x = x.astype(np.float32).astype(float)
+    out = N.most_similar(table(spark, [(k, v, "m") for k, v in enumerate(x)]), "file_id", "vec", "grp", far=False)
+    got = {(p.id_a, p.id_b) for p in similar_pairs(out).collect()}
+    s = x @ x.T
+    want = {(min(a, b), max(a, b)) for a, near in brute(x, np.arange(len(x)), 5).items() for b in near if s[a, b] >= 0.6}
+    # What is linked in numbers over WHOLE (the cluster of 150, of 100) is compared in closer parts.
+    large = {p for p in want ^ got if whole < 150 and 720 <= p[0] < 870}
+    assert (want ^ got) - large == set() and len(large) <= 0.1 * sum(720 <= p[0] < 870 for p in want)
+
+
 def test_footrule():
     prefix = np.array([[1, 2, 3], [1, 2, 3], [3, 2, 1], [7, 8, 9]])
 
