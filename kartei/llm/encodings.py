@@ -5,8 +5,7 @@ over all of them. For every word with characters beyond ASCII that the model fin
 every chain (encode with the wrong encoding, decode with the right one) is tried and scored by the
 model; words are scored jointly by the best run of words under one chain, and the likeliest chain
 is accepted beyond a margin. Restoring is repeated on its own result, which undoes double damage
-and several damaged passages. The margin is validated on a bounded sample (``VALIDATED``) of clean
-records, as they are and with planted damage.
+and several damaged passages. The margin is validated on all clean texts beyond ASCII.
 
 A replacement character (U+FFFD) is the trace of a failed decoding: such records are found,
 though what it replaced can't be restored.
@@ -32,8 +31,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from kartei.plans.lineage import discard, materialise
 
-from .sampling import sample_texts
-
 #: Encodings that texts may have been written in.
 RIGHT = ("utf-8", "cp1252", "cp1250", "iso8859-2", "cp852", "cp1251", "koi8-r", "cp866", "iso8859-5", "mac_cyrillic", "cp1253", "iso8859-7", "cp737", "cp932", "euc_jp", "mac_roman", "cp850", "cp437", "utf-16-le", "utf-16-be")
 #: Encodings that they may have been read with.
@@ -48,7 +45,10 @@ NEVER = 0.05
 REPLACED = "�"
 #: The model is sent to all executors: of more trigrams than this, those below a least count are left out.
 MODEL_GRAMS = 300_000
-VALIDATED = 400
+#: Clean texts that a margin is validated on, at least.
+LEAST_VALIDATED = 20
+#: Steps of a range that a quantile is looked for in, at once.
+STEPS = 1024
 #: Log-probability by character from which on a word is taken as it is.
 FAMILIAR = -3.2
 #: A context is half trusted if it makes up this share of all characters, and was seen so often at least.
@@ -322,42 +322,27 @@ class Repairer:
         return damaged, damaged and not lossy, top, ",".join(chains), text
 
 
-def damage(text: str, rng: np.random.Generator) -> str | None:
-    """The text with one passage read with a random wrong encoding; None if that changes nothing."""
-    words = text.split(" ")
-    n = int(rng.choice([1, 3, 10, len(words)]))
-    odd = [i for i, w in enumerate(words) if not w.isascii()]
-    if not odd:
-        return None
-    first = max(0, int(rng.choice(odd)) - int(rng.integers(0, n)))
-    passage = " ".join(words[first : first + n])
-    for _ in range(6):
-        wrong, right = CHAINS[int(rng.integers(0, len(CHAINS)))] if rng.random() < 0.5 else (str(rng.choice(["cp1252", "latin-1", "cp437", "mac_roman", "cp1250"])), "utf-8")
-        try:
-            bad = passage
-            for r, w in zip(right.split(", "), wrong.split(", ")):
-                bad = bad.encode(r).decode(w)
-        except UnicodeError:
-            continue
-        if bad != passage and not bad.isascii():
-            return " ".join([*words[:first], bad, *words[first + n :]])
-    return None
-
-
-def validated_margin(model: CharModel, texts: list[str], cost: list[float] = COST, seed: int = 5) -> tuple[float, float, float]:
-    """(margin, share of planted damage found, share of clean texts found) on clean texts.
-
-    The margin is the smallest that at most one in ``1 / STRAY`` clean texts reaches, so that the few
+def lower_quantile(values: DataFrame, share: float) -> float:
+    """The value of column gain at the place floor(share * (n - 1)) of their order, exactly: by counts of ever narrower steps."""
+    n, low, high = values.agg(F.count("gain"), F.min("gain"), F.max("gain")).first()
+    place = int((n - 1) * share)
+    while low < high:
+        step = F.least(F.floor((F.col("gain") - low) / ((high - low) / STEPS)), F.lit(STEPS - 1))
+        counts = values.where(F.col("gain").between(low, high)).groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n"), F.min("gain").alias("low"), F.max("gain").alias("high"))
+        for r in sorted(counts.collect(), key=lambda r: r.step):  # STEPS rows at most
+            if place < r.n:
+                low, high = r.low, r.high
+                break
+            place -= r.n
+    return low
+
+
+def validated_margin(gains: DataFrame) -> float:
+    """The smallest margin that at most a share of STRAY of the clean texts' gains reaches, so that the few
     damaged ones that the first model let pass don't raise it."""
-    rng = np.random.default_rng(seed)
-    repairer = Repairer(model, float("inf"), cost)
-    texts = [t for t in texts if not t.isascii()]
-    plain = np.array([repairer.best(t)[0] for t in texts])
-    planted = np.array([repairer.best(b)[0] for t in texts if (b := damage(t, rng))])
-    if len(plain) < 20 or len(planted) < 20:
-        return 4.0, float("nan"), float("nan")
-    margin = max(LEAST_MARGIN, float(np.quantile(plain, 1 - STRAY, method="lower")) + 0.5)
-    return margin, float((planted >= margin).mean()), float((plain >= margin).mean())
+    if gains.limit(LEAST_VALIDATED).count() < LEAST_VALIDATED:
+        return 4.0
+    return max(LEAST_MARGIN, lower_quantile(gains, 1 - STRAY) + 0.5)
 
 
 def least_count(counts: DataFrame, most: int = MODEL_GRAMS) -> int:
@@ -383,44 +368,63 @@ def fit(rows: DataFrame, judge: Callable[[], Callable[[str], bool]]) -> CharMode
     return CharModel.of(np.asarray(kept.column("gram").combine_chunks()), np.asarray(kept.column("n").combine_chunks()).astype(float))
 
 
-def train(rows: DataFrame) -> tuple[CharModel, float, list[float]]:
-    """The model of all clean texts (column text), its validated margin and the chains' costs."""
+def train(rows: DataFrame) -> tuple[CharModel, float, list[float], DataFrame]:
+    """The model of all clean texts (of columns id, text), the margin validated on them, the chains' costs, and rows with what
+    the best chain gains under that model."""
     sc = rows.sparkSession.sparkContext
     common = {chr(r.char) for r in char_counts(rows).where(F.col("n") >= COMMON).select("char").collect()}  # no more than Unicode has
     frozen = frozenset(common - {REPLACED})
     first = sc.broadcast(fit(rows, lambda: Suspicion(frozen).clean))
 
+    def best_of(repairer: Repairer, batch: pa.RecordBatch) -> tuple[list, list]:
+        best = [(0.0, -1) if t.isascii() else repairer.best(t)[:2] for t in batch.column(1).to_pylist()]
+        return [b[0] for b in best], [b[1] for b in best]
+
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repairer = Repairer(first.value, FIRST_MARGIN)
         for batch in batches:
-            best = [(0.0, -1) if t.isascii() else repairer.best(t)[:2] for t in batch.column(0).to_pylist()]
-            gain, chain = ([b[k] for b in best] for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gain, pa.float64()), pa.array(chain, pa.int32())], names=["text", "gain", "chain"])
+            gain, chain = best_of(repairer, batch)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(gain, pa.float64()), pa.array(chain, pa.int32())], names=["id", "text", "gain", "chain"])
 
-    judged = materialise(rows.select("text").mapInArrow(judge, "text string, gain double, chain int"))
-    clean = judged.where((F.col("gain") < FIRST_MARGIN) & ~F.col("text").contains(REPLACED)).select("text")
-    model = fit(clean, lambda: bool)
+    judged = materialise(rows.select("id", "text").mapInArrow(judge, "id long, text string, gain double, chain int"))
+    passed = (F.col("gain") < FIRST_MARGIN) & ~F.col("text").contains(REPLACED)
+    model = fit(judged.where(passed).select("text"), lambda: bool)
     # How often each chain was seen says what it costs from now on.
     seen = {r.chain: r.n for r in judged.where(F.col("gain") >= FIRST_MARGIN).groupBy("chain").agg(F.count(F.lit(1)).alias("n")).collect()}
     whole = sum(seen.values()) + NEVER * len(CHAINS)
     cost = [-float(np.log((seen.get(k, 0) + NEVER) / whole)) for k in range(len(CHAINS))] if seen else COST
-    sample = sample_texts(clean.where(F.col("text").rlike(r"[^\x00-\x7f]")), VALIDATED)
-    margin, _, _ = validated_margin(model, sample, cost)
-    model.remembered.clear()
-    return model, margin, cost
+    second = sc.broadcast((model, cost))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, costs = second.value
+        repairer = Repairer(own, float("inf"), costs)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(best_of(repairer, batch)[0], pa.float64())], names=["id", "text", "clean", "gain"])
+
+    scored = materialise(judged.select("id", "text", passed.alias("clean")).mapInArrow(score, "id long, text string, clean boolean, gain double"))
+    discard(judged)
+    # Equal texts count once.
+    gains = materialise(scored.where(F.col("clean") & F.col("text").rlike(r"[^\x00-\x7f]")).groupBy(F.xxhash64("text").alias("h")).agg(F.min("gain").alias("gain")))
+    margin = validated_margin(gains)
+    discard(gains)
+    return model, margin, cost, scored
 
 
 def garbled(texts: DataFrame, doc_id: str = "file_id", text: str = "text") -> DataFrame:
     """(id, damaged, restorable, gain, chains, restored) of every record's text."""
     rows = materialise(texts.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).distinct())
-    shared = rows.sparkSession.sparkContext.broadcast(train(rows))
+    model, margin, cost, scored = train(rows)
+    discard(rows)
+    shared = rows.sparkSession.sparkContext.broadcast((model, margin, cost))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repairer = Repairer(*shared.value)
         for batch in batches:
-            out = [repairer.repair(t) if not t.isascii() else (False, False, 0.0, "", t) for t in batch.column(1).to_pylist()]
+            # The gain is what the first round of repairing would find.
+            known = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())
+            out = [repairer.repair(t) if g >= repairer.margin or REPLACED in t else (False, False, g, "", t) for t, g in known]
             columns = list(zip(*out)) or [[]] * 5
             kinds = (pa.bool_(), pa.bool_(), pa.float64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=["id", "damaged", "restorable", "gain", "chains", "restored"])
 
-    return rows.mapInArrow(work, "id long, damaged boolean, restorable boolean, gain double, chains string, restored string")
+    return scored.select("id", "text", "gain").mapInArrow(work, "id long, damaged boolean, restorable boolean, gain double, chains string, restored string")

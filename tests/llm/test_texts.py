@@ -180,6 +180,30 @@ def test_double_damage(texts):
     assert E.Repairer(model, 4.0).repair(bad)[4] == t and E.Repairer(model, 4.0).repair(t) == (False, False, 0.0, "", t)
 
 
+def test_margin_counts_all_clean_texts(spark, texts, monkeypatch):
+    """Every text passes as clean here, damaged ones, too, so that what a few gain tells whether all were counted."""
+    monkeypatch.setattr(E, "FIRST_MARGIN", 1e9)
+    rows = []
+    for i, t in enumerate(texts):
+        right, wrong = CASES[i // 61 % len(CASES)]
+        try:
+            rows.append((i, t.encode(right).decode(wrong) if i % 61 == 0 else t))
+        except UnicodeError:
+            rows.append((i, t))
+    rows += [(5000 + i, t) for i, t in rows[:300]]  # equal texts count once
+    model, margin, cost = E.train(spark.createDataFrame(rows, "id long, text string"))[:3]
+    repairer = E.Repairer(model, float("inf"), cost)
+    gains = [repairer.best(t)[0] for t in sorted({t for _, t in rows if not t.isascii()})]
+    assert margin == pytest.approx(max(E.LEAST_MARGIN, np.quantile(gains, 1 - E.STRAY, method="lower") + 0.5)) and margin > E.LEAST_MARGIN
+
+
+@pytest.mark.parametrize("values", [[3.5], [0.0] * 50 + [1.0], [-1e-9, 0.0, 1e-9, 1e6], np.random.default_rng(1).exponential(2, 2500).tolist()])
+def test_quantile_is_exact(spark, values):
+    table = spark.createDataFrame([(v,) for v in values], "gain double")
+    for share in (0.0, 0.5, 0.995, 1.0):
+        assert E.lower_quantile(table, share) == np.quantile(values, share, method="lower")
+
+
 def test_empty_table(spark):
     assert E.garbled(spark.createDataFrame([], "file_id long, text string")).count() == 0
 
